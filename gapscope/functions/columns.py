@@ -109,6 +109,11 @@ def linspace(start: float, stop: float, num: int) -> list[float]:
     return [float(v) for v in np.linspace(start, stop, num)]
 
 
+def double_array(values: list[float]) -> Column:
+    """Constant array of doubles, parsed once instead of built literal by literal."""
+    return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
+
+
 def grid_index(p: Column | str, grid: list[float]) -> Column:
     """Number of points of an evenly spaced grid that are <= p.
 
@@ -117,7 +122,7 @@ def grid_index(p: Column | str, grid: list[float]) -> Column:
     """
     p, size = as_col(p), len(grid)
     step = (grid[-1] - grid[0]) / (size - 1)
-    points = F.array(*[F.lit(g) for g in grid])
+    points = double_array(grid)
     guess = F.floor((p - F.lit(grid[0])) / F.lit(step)).cast("int") + 1
     guess = F.least(F.greatest(guess, F.lit(0)), F.lit(size))
     too_high = (guess >= 1) & (F.get(points, guess - 1) > p)

@@ -11,6 +11,7 @@ from ..functions.columns import (
     at_prevalence,
     attenuation,
     count_where,
+    double_array,
     linspace,
     ratio,
     threshold_rates,
@@ -60,8 +61,8 @@ def pooled_rates() -> dict[str, Column]:
 
 def with_side_rates(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Append ``<name>_a`` and ``<name>_b`` so later expressions reuse them."""
-    cols = [side_rates(s)[n].alias(f"{n}_{s}") for s in ("a", "b") for n in names]
-    return pairs.select("*", *cols)
+    rates = {s: side_rates(s) for s in ("a", "b")}
+    return pairs.select("*", *[rates[s][n].alias(f"{n}_{s}") for s in ("a", "b") for n in names])
 
 
 CORE = (
@@ -195,7 +196,7 @@ def prevalence_sweep(
 ) -> DataFrame:
     """Bayes-adjusted gaps over a grid of shared prevalences (grid size is fixed)."""
     wide = with_side_rates(pairs, ("sensitivity", "specificity"))
-    grid = F.array(*[F.lit(v) for v in linspace(low, high, steps)])
+    grid = double_array(linspace(low, high, steps))
     long = wide.select(
         *keys, "sensitivity_a", "specificity_a", "sensitivity_b", "specificity_b",
         F.explode(grid).alias("target_prevalence"),

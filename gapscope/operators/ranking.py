@@ -165,21 +165,30 @@ def hash_parts(
     seed: int,
     cuts: list[Column],
     name: str,
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """Cut every stratum, in pseudo-random order, at exact cumulative counts.
 
-    ``cuts`` are expressions over ``_total`` (rows of the stratum) and the
-    stratum columns. A row's part is the number of cuts before it. Only rows
+    ``cuts`` are expressions over ``_total`` (members of the stratum) and the
+    stratum columns. A row's part is the number of cuts before it. Only members
     of the hash bucket that a cut falls into are ranked; all other rows are
-    labelled in the scan, so the input is never shuffled.
+    labelled in the scan, so the labelled table is never shuffled.
+
+    Members are the rows of ``population`` (for instance distinct clusters);
+    by default those of ``df`` itself.
     """
-    order_id = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
-    keyed = df.withColumn("_h", hash_text(ids, seed)).withColumn("_id", order_id)
+
+    def keyed(table: DataFrame) -> DataFrame:
+        text = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
+        return table.withColumn("_h", hash_text(ids, seed)).withColumn("_id", text)
+
     bucket = F.conv(F.substring("_h", 1, HASH_BUCKETS_HEX), 16, 10).cast("int")
-    rows = keyed.select(*strata, "_h", "_id", bucket.alias("_b"))
+    members = keyed(df if population is None else population).select(
+        *strata, "_h", "_id", bucket.alias("_b")
+    )
     group = Window.partitionBy(*strata)
     upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    counts = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
+    counts = members.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
     placed = counts.select(
         *strata, "_b",
         (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
@@ -200,7 +209,7 @@ def hash_parts(
             (F.col("_w.k") - F.col("_before")).alias("_r"),
         )
     )
-    ranked = null_safe_join(rows, targets, [*strata, "_b"]).withColumn(
+    ranked = null_safe_join(members, targets, [*strata, "_b"]).withColumn(
         "_rn",
         F.row_number().over(Window.partitionBy(*strata, "_b", "_j").orderBy("_h", "_id")),
     )
@@ -214,12 +223,11 @@ def hash_parts(
             ]
         )
     )
-    labelled = null_safe_join(keyed, edges, strata, "left")
+    labelled = null_safe_join(keyed(df), edges, strata, "left")
     here = F.struct("_h", "_id")
-    part = sum(
-        (F.coalesce(here > F.col(f"_c{j}"), F.lit(True)).cast("int") for j in range(len(cuts))),
-        F.lit(0),
-    )
+    part = F.lit(0)
+    for j in range(len(cuts)):
+        part = part + F.coalesce(here > F.col(f"_c{j}"), F.lit(True)).cast("int")
     return labelled.select(*df.columns, part.alias(name))
 
 

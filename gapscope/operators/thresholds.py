@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     COUNTS,
     count_where,
+    double_array,
     grid_index,
     linspace,
     threshold_rates,
@@ -53,7 +54,7 @@ def threshold_curve(
         F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
         F.sum("pos").over(group).alias("_p"), F.sum("neg").over(group).alias("_n"),
     )
-    points = F.array(*[F.lit(g) for g in grid])
+    points = double_array(grid)
     return filled.where(F.col("reached") > 0).select(
         *keys,
         F.col("reached").alias("step"),

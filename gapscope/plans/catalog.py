@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import comparison, operating_points, performance  # noqa: F401
+from . import comparison, inference, operating_points, performance, preparation  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

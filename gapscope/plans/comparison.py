@@ -146,7 +146,7 @@ def _(spark, d):
       a.predicted_positive_rate - b.predicted_positive_rate predicted_positive_rate
       from g a join g b on a.dataset = b.dataset and a.subgroup = '{A_ORD}' and b.subgroup = '{B_ORD}'),
     lng as (unpivot ab on ppv, npv, predicted_positive_rate into name metric value ipw_adj_gap),
-    {prevalence_gap_sql(ORD_WIDE).replace('w as', 'w as', 1).split(' select ', 1)[0] if False else f'w as ({ORD_WIDE})'},
+    w as ({ORD_WIDE}),
     bay as ({' union all '.join(f"select dataset, '{m}' metric, {adjusted_sql(m)[0]} - {adjusted_sql(m)[1]} bayes_adj_gap from w" for m in THREE)})
     select lng.dataset, target_prevalence, lng.metric, bayes_adj_gap, ipw_adj_gap,
     abs(bayes_adj_gap - ipw_adj_gap) absolute_diff

@@ -271,11 +271,6 @@ def linspace_sql(start: float, stop: float, num: int, name: str = "t") -> str:
     )
 
 
-BIN_SQL = (
-    "least(greatest((select count(*) from (" + linspace_sql(0.0, 1.0, 11) + ") e where e.t <= {p})::int - 1, 0), 9)"
-)
-
-
 def bin_sql(p: str = "prob", bins: int = 10) -> str:
     """Equal-width bin through comparisons with the edge doubles."""
     terms = " + ".join(
