@@ -178,6 +178,12 @@ def hash_parts(
     by default those of ``df`` itself.
     """
 
+    if not strata:
+        # a constant that the optimiser does not fold, so joins on it stay equi-joins
+        one = F.coalesce(F.substring(F.col(ids[0]).cast("string"), 1, 0), F.lit(""))
+        named = None if population is None else population.withColumn("_k", one)
+        return hash_parts(df.withColumn("_k", one), ["_k"], ids, seed, cuts, name, named).drop("_k")
+
     def keyed(table: DataFrame) -> DataFrame:
         text = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
         return table.withColumn("_h", hash_text(ids, seed)).withColumn("_id", text)

@@ -183,3 +183,40 @@ def scored_export(
         F.count_if(F.col("prob_calibrated") != F.col("_p")).alias("n_probability_differs"),
         F.count_if(F.col("y_pred_at_threshold") != rule).alias("n_prediction_differs"),
     )
+
+
+def performance_rows(
+    metrics: DataFrame, intervals: DataFrame, statuses: DataFrame, keys: list[str],
+    groups: dict[str, str], group: str = "subgroup",
+) -> DataFrame:
+    """Overall and per-group metrics beside bootstrap limits and status counts.
+
+    ``metrics`` has a row per group and one for ``overall``; ``intervals`` and
+    ``statuses`` come from the bootstrap, where groups are called a and b.
+    """
+    scope = F.lit("overall")
+    for side, label in groups.items():
+        scope = F.when(F.col(group) == F.lit(label), F.lit(side)).otherwise(scope)
+    left = metrics.withColumn("scope", scope)
+    named = intervals.where(F.col("metric").rlike("^(auroc|brier|intercept|slope)_(a|b|overall)$"))
+    parts = named.withColumn("scope", F.regexp_extract("metric", "_(a|b|overall)$", 1)).withColumn(
+        "stat", F.regexp_extract("metric", "^([a-z]+)_", 1)
+    )
+    cells = []
+    for stat in ("auroc", "brier", "intercept", "slope"):
+        here = F.col("stat") == stat
+        stem = stat if stat in ("auroc", "brier") else f"calib_{stat}"
+        cells += [
+            F.max(F.when(here, F.col("ci_low"))).alias(f"{stem}_ci_low"),
+            F.max(F.when(here, F.col("ci_high"))).alias(f"{stem}_ci_high"),
+        ]
+        if stat in ("intercept", "slope"):
+            cells.append(F.max(F.when(here, F.col("point"))).alias(stem))
+        if stat == "slope":
+            cells += [
+                F.max(F.when(here, F.col("n_valid_replicates"))).alias("calib_slope_valid_replicates"),
+                F.max(F.when(here, F.col("n_failed_replicates"))).alias("calib_slope_failed_replicates"),
+            ]
+    wide = parts.groupBy(*keys, "scope").agg(*cells)
+    joined = null_safe_join(null_safe_join(left, wide, [*keys, "scope"], "left"), statuses, [*keys, "scope"], "left")
+    return joined.drop("scope")
