@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clipped_logit, hash_uniform
+from ..session import ensure_checkpoint_dir
 from . import gaps as G
 from . import metrics as M
 from .prep import (
@@ -112,16 +113,35 @@ def prepare(train: DataFrame, spec: DesignSpec, part: str | None = None) -> dict
     if spec.numeric:
         for r in fit_medians(train, [part], spec.numeric).collect():
             medians.setdefault(r[part], {})[r["column"]] = r["median"]
-    found = fit_categories(train, [part], spec.categorical) if spec.categorical else None
-    parts = list(medians) or [r[0] for r in train.select(part).distinct().collect()]
-    out = {}
-    for v in parts:
-        levels = level_lists(found.where(F.col(part) == F.lit(v)), spec) if found is not None else {}
-        out[v] = _stages(train.where(F.col(part) == F.lit(v)), spec, medians.get(v, {}), levels)
-    return out
+    levels: dict = {}
+    if spec.categorical:
+        levels = level_lists(fit_categories(train, [part], spec.categorical), spec, part)
+    parts = list(medians or levels)
+    stats = _part_moments(train, spec, part, medians, levels)
+    return {v: _stages(spec, medians.get(v, {}), levels.get(v, {}), stats[v]) for v in parts}
+
+
+def _part_moments(train: DataFrame, spec: DesignSpec, part: str, medians: dict, levels: dict) -> dict:
+    """Mean and population sd of every design column, all parts in one grouped job."""
+    columns = {}
+    for f in spec.numeric:
+        fill = F.create_map(*[F.lit(x) for v, m in medians.items() for x in (v, m[f])])
+        columns[f"f_{f}"] = F.coalesce(F.col(f).try_cast("double"), F.try_element_at(fill, F.col(part)))
+    for c in spec.categorical:
+        for v in sorted({v for known in levels.values() for v in known[c.source]}):
+            hit = F.coalesce(F.col(c.source).cast("string") == F.lit(v), F.lit(False))
+            columns[f"f_{c.stem}_{v}"] = hit.cast("double")
+    names = list(columns)
+    rows = train.groupBy(part).agg(
+        *[F.avg(columns[n]).alias(f"m{i}") for i, n in enumerate(names)],
+        *[F.stddev_pop(columns[n]).alias(f"s{i}") for i, n in enumerate(names)],
+    ).collect()
+    return {
+        r[part]: {n: (r[f"m{i}"] or 0.0, r[f"s{i}"] or 1.0) for i, n in enumerate(names)} for r in rows
+    }
 
 
-def _stages(train: DataFrame, spec: DesignSpec, medians: dict, levels: dict) -> Preparation:
+def _stages(spec: DesignSpec, medians: dict, levels: dict, stats: dict) -> Preparation:
     by_source = {c.source: c for c in spec.categorical}
     parts = []
     for f in spec.features:
@@ -139,7 +159,6 @@ def _stages(train: DataFrame, spec: DesignSpec, medians: dict, levels: dict) ->
             )
     names = [f"f_{c}" for c in design_columns(spec, levels)]
     impute = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
-    stats = moments(impute.transform(train), names)
     scaled = [
         f"({_quoted(n)} - {stats[n][0]!r}D) / {stats[n][1]!r}D AS {_quoted('z' + n)}" for n in names
     ]
@@ -202,6 +221,12 @@ def fit_family(
     return Fitted(family, [PipelineModel([*prepared.stages, estimator.fit(rows)])], list(spec.features))
 
 
+def _settled(scores: DataFrame) -> DataFrame:
+    """Score once and cut the lineage, so later jobs do not carry the fitted models."""
+    ensure_checkpoint_dir(scores.sparkSession)
+    return scores.checkpoint()
+
+
 def in_parallel(jobs: list[Callable], width: int) -> list:
     """Run independent fits from a few driver threads; each fit is its own Spark job."""
     with ThreadPool(max(1, min(width, len(jobs)))) as pool:
@@ -231,7 +256,7 @@ def cross_validated_scores(
         return run
 
     parts = in_parallel([job(f, k) for f in needed for k in range(folds)], settings.parallelism)
-    scores = reduce(DataFrame.unionByName, parts)
+    scores = _settled(reduce(DataFrame.unionByName, parts))
     if "calibrated_ensemble" in families:
         vote = (
             scores.where(F.col("family").isin(list(ENSEMBLE_MEMBERS)))
@@ -464,7 +489,9 @@ def family_robustness(
     errors = spark.createDataFrame(failed, "family string, error string")
     if not scored:
         return errors
-    rows = reduce(DataFrame.unionByName, scored).withColumn("pred", (F.col("prob") >= threshold).cast("int"))
+    rows = _settled(reduce(DataFrame.unionByName, scored)).withColumn(
+        "pred", (F.col("prob") >= threshold).cast("int")
+    )
     table = G.gap_row(rows, ["family"], group, a, b, y, "prob", "pred")
     return table.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
 
@@ -560,6 +587,6 @@ def repeated_splits(
         parts.append(
             scored.withColumn("pred", (F.col("prob") >= threshold).cast("int")).withColumn("seed", F.lit(seed))
         )
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = _settled(reduce(DataFrame.unionByName, parts))
     pairs = G.with_side_rates(G.pair_counts(rows, ["seed"], group, a, b, y, "pred"), ("sensitivity",))
     return pairs.select("seed", G.gap("sensitivity").alias("gap"))

@@ -105,19 +105,27 @@ def fit_categories(train: DataFrame, keys: list[str], spec: list[Categorical]) -
     )
 
 
-def level_lists(categories: DataFrame, spec: DesignSpec) -> dict[str, list[str]]:
-    """Levels per source on the driver: they name columns, so their number is checked."""
-    rows = categories.select("source", "category", "position").distinct().limit(MAX_LEVELS + 1).collect()
+def level_lists(categories: DataFrame, spec: DesignSpec, part: str | None = None) -> dict:
+    """Levels per source on the driver: they name columns, so their number is checked.
+
+    With ``part`` the result is one such table per value of that key column.
+    """
+    columns = ["source", "category", "position"] + ([part] if part else [])
+    rows = categories.select(*columns).distinct().limit(MAX_LEVELS + 1).collect()
     if len(rows) > MAX_LEVELS:
         raise ValueError(f"more than {MAX_LEVELS} category levels; not a design-matrix source")
-    out = {
-        c.source: [r["category"] for r in sorted(rows, key=lambda r: r["position"]) if r["source"] == c.source]
-        for c in spec.categorical
-    }
-    empty = [s for s, levels in out.items() if not levels]
-    if empty:
-        raise ValueError(f"no category observed in training rows for {empty}")
-    return out
+    rows.sort(key=lambda r: r["position"])
+    out = {}
+    for v in {r[part] for r in rows} if part else {None}:
+        found = {c.source: [] for c in spec.categorical}
+        for r in rows:
+            if (part is None or r[part] == v) and r["category"] not in found[r["source"]]:
+                found[r["source"]].append(r["category"])
+        empty = [s for s, levels in found.items() if not levels]
+        if empty:
+            raise ValueError(f"no category observed in training rows for {empty}")
+        out[v] = found
+    return out if part else out[None]
 
 
 def design_columns(spec: DesignSpec, levels: dict[str, list[str]]) -> list[str]:

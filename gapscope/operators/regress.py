@@ -72,7 +72,7 @@ def fit_logistic(
     )
     lr = LogisticRegression(
         featuresCol="_x", labelCol="_label", regParam=1.0 / (c * float(total)),
-        elasticNetParam=l1, standardization=False, maxIter=500, tol=1e-10,
+        elasticNetParam=l1, standardization=False, maxIter=500, tol=1e-9,
     )
     if weight is not None:
         lr = lr.setWeightCol(weight)
