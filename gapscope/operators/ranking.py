@@ -32,24 +32,29 @@ def prefix_sums(
     monotone in ``order``.
     """
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    totals = cells.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_b_{v}") for v in values])
-    group = Window.partitionBy(*keys)
+    # One struct key: equality treats null fields as equal, and the window below
+    # and the join share the partitioning on (key, bucket).
+    keyed = cells.withColumn("_key", F.struct(*keys))
+    totals = keyed.groupBy("_key", bucket).agg(*[F.sum(v).alias(f"_b_{v}") for v in values])
+    group = Window.partitionBy("_key")
     before = group.orderBy(direction(bucket)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
+        "_key",
         bucket,
         *[F.coalesce(F.sum(f"_b_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
         *[F.sum(f"_b_{v}").over(group).alias(f"tot_{v}") for v in values],
     )
     inside = (
-        Window.partitionBy(*keys, bucket)
+        Window.partitionBy("_key", bucket)
         .orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = null_safe_join(cells, offsets, [*keys, bucket])
-    return joined.select(
+    running = keyed.select("*", *[F.sum(v).over(inside).alias(f"_r_{v}") for v in values])
+    # A left join: every bucket has its offset, and no null filter is inferred on one
+    # side only, so both sides reuse one exchange of the cells.
+    return running.join(offsets, ["_key", bucket], "left").select(
         *cells.columns,
-        *[(F.col(f"_o_{v}") + F.sum(v).over(inside)).alias(f"cum_{v}") for v in values],
+        *[(F.col(f"_o_{v}") + F.col(f"_r_{v}")).alias(f"cum_{v}") for v in values],
         *[f"tot_{v}" for v in values],
     )
 

@@ -35,6 +35,7 @@ from .intervals import percentile_interval
 
 SIDES = tuple(f"{c}_{s}" for s in "ab" for c in COUNTS)
 BUCKET_MEMBERS = 2048
+MAX_BROADCAST_FITS = 64
 RATE_GAPS = (
     "sensitivity", "specificity", "fpr", "fnr", "ppv", "npv", "predicted_positive_rate",
     "prevalence",
@@ -121,19 +122,19 @@ def _cluster_buckets(clusters: DataFrame, keys: list[str], cluster: str) -> Data
 
 def _cluster_draws(
     clusters: DataFrame, keys: list[str], cluster: str, n_boot: int, seed: int
-) -> DataFrame:
-    """Clusters (one row each) joined with the draws of their bucket."""
+) -> tuple[DataFrame, DataFrame]:
+    """Clusters (one row each) with their bucket, and the draws per bucket."""
     marked = _cluster_buckets(clusters, keys, cluster)
     masses = marked.groupBy(*keys, "_cb").agg(F.count("*").alias("_m"))
-    draws = _bucket_draws(masses, keys, "_cb", "_m", n_boot, seed)
-    return null_safe_join(marked, draws, [*keys, "_cb"])
+    return marked, _bucket_draws(masses, keys, "_cb", "_m", n_boot, seed)
 
 
-def _weights(pdf: pd.DataFrame, cluster: str, key: tuple, seed: int) -> np.ndarray:
+def _weights(draws: pd.DataFrame, size: int, key: tuple, seed: int) -> np.ndarray:
     """Multiplicities, replicates x clusters, for the clusters of one bucket."""
-    n = np.asarray(pdf["_draws"].iloc[0], dtype=np.int64)
-    size = len(pdf)
-    return _rng(seed, "clusters", key).multinomial(n, np.full(size, 1.0 / size))
+    n = np.asarray(draws["_draws"].iloc[0], dtype=np.int64)
+    picked = _rng(seed, "clusters", key).integers(0, size, int(n.sum()))
+    row = np.repeat(np.arange(len(n)), n)
+    return np.bincount(row * size + picked, minlength=len(n) * size).reshape(len(n), size)
 
 
 def cluster_count_replicates(
@@ -148,23 +149,25 @@ def cluster_count_replicates(
     per_cluster = G.pair_counts(df, [*keys, cluster], group, a, b, y, pred).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    ready = _cluster_draws(per_cluster, keys, cluster, n_boot, seed)
+    marked, draws = _cluster_draws(per_cluster, keys, cluster, n_boot, seed)
     schema = T.StructType(
         [*_key_schema(df, keys), T.StructField("replicate", T.IntegerType())]
         + [T.StructField(c, T.LongType()) for c in SIDES]
     )
 
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame, drawn_to: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(cluster)
         counts = pdf[list(SIDES)].to_numpy(dtype=np.int64)
-        drawn = _weights(pdf, cluster, key, seed) @ counts
+        drawn = _weights(drawn_to, len(pdf), key, seed) @ counts
         out = pd.DataFrame(np.vstack([counts.sum(axis=0), drawn]), columns=list(SIDES))
         out.insert(0, "replicate", np.arange(n_boot + 1, dtype=np.int32))
         for i, k in enumerate(keys):
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    parts = ready.groupBy(*keys, "_cb").applyInPandas(draw, schema)
+    parts = (
+        marked.groupBy(*keys, "_cb").cogroup(draws.groupBy(*keys, "_cb")).applyInPandas(draw, schema)
+    )
     return parts.groupBy(*keys, "replicate").agg(*[F.sum(c).alias(c) for c in SIDES])
 
 
@@ -431,7 +434,8 @@ def _cells(
 
 def _score_buckets(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Score ranges on the log-odds scale holding a bounded number of distinct cells."""
-    largest = cells.groupBy(*keys).agg(F.count_distinct(*CELL).alias("c")).agg(F.max("c")).first()[0] or 1
+    sizes = cells.groupBy(*keys).agg(F.approx_count_distinct(F.struct(*CELL)).alias("c"))
+    largest = sizes.agg(F.max("c")).first()[0] or 1
     per_unit = min(65536, max(1, int(largest) // (4 * BUCKET_MEMBERS)))
     eps = 1e-12
     p = F.least(F.greatest(F.col("_prob"), F.lit(eps)), F.lit(1.0 - eps))
@@ -478,22 +482,25 @@ def weighted_cells_by_row(
     )
     masses = cells.groupBy(*keys, "_side", "_b").agg(F.sum("_n").alias("_m"))
     draws = _bucket_draws(masses, [*keys, "_side"], "_b", "_m", n_boot, seed)
-    joined = null_safe_join(cells, draws, [*keys, "_side", "_b"])
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame, drawn_to: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(CELL).reset_index(drop=True)
+        draws_of = dict(zip(drawn_to["_side"], drawn_to["_draws"]))
         weights = np.zeros((n_boot + 1, len(pdf)), dtype=np.int64)
         weights[0] = pdf["_n"].to_numpy()
         for s in (0, 1):
             here = np.flatnonzero(pdf["_side"].to_numpy() == s)
             if len(here):
-                n = np.asarray(pdf["_draws"].iloc[here[0]], dtype=np.int64)
+                n = np.asarray(draws_of[s], dtype=np.int64)
                 share = pdf["_n"].to_numpy(dtype=float)[here]
                 rng = _rng(seed, "cells", key, s)
                 weights[1:, here] = rng.multinomial(n, share / share.sum())
         return _packed(pdf, keys, weights)
 
-    return joined.groupBy(*keys, "_b").applyInPandas(pack, _pack_schema(df, keys))
+    return (
+        cells.groupBy(*keys, "_b").cogroup(draws.groupBy(*keys, "_b"))
+        .applyInPandas(pack, _pack_schema(df, keys))
+    )
 
 
 def weighted_cells_by_cluster(
@@ -511,19 +518,22 @@ def weighted_cells_by_cluster(
         keys,
     )
     clusters = cells.select(*keys, cluster).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    drawn = _cluster_draws(clusters, keys, cluster, n_boot, seed)
+    marked, draws = _cluster_draws(clusters, keys, cluster, n_boot, seed)
     weight_schema = T.StructType(
         [*_key_schema(df, keys), df.schema[cluster], T.StructField("_w", T.BinaryType())]
     )
 
-    def weigh(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def weigh(key: tuple, pdf: pd.DataFrame, drawn_to: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(cluster).reset_index(drop=True)
-        weights = _weights(pdf, cluster, key, seed).astype(np.int64)
+        weights = _weights(drawn_to, len(pdf), key, seed).astype(np.int64)
         out = pdf[[*keys, cluster]].copy()
         out["_w"] = [np.concatenate([[1], weights[:, j]]).tobytes() for j in range(len(pdf))]
         return out
 
-    weights = drawn.groupBy(*keys, "_cb").applyInPandas(weigh, weight_schema)
+    weights = (
+        marked.groupBy(*keys, "_cb").cogroup(draws.groupBy(*keys, "_cb"))
+        .applyInPandas(weigh, weight_schema)
+    )
     rows = null_safe_join(cells, weights, [*keys, cluster]).select(*keys, "_b", *CELL, "_n", "_w")
     sum_schema = T.StructType(
         [*_key_schema(df, keys), T.StructField("_b", T.IntegerType())]
@@ -531,36 +541,37 @@ def weighted_cells_by_cluster(
     )
     names = [*keys, "_b", *CELL]
 
-    def emit(held: dict) -> pd.DataFrame:
-        out = pd.DataFrame(list(held), columns=names)
-        out["_w"] = [v.tobytes() for v in held.values()]
+    def added(pdf: pd.DataFrame, by: list[str], times: np.ndarray | None) -> pd.DataFrame:
+        """Sum the weight vectors of equal cells."""
+        matrix = np.frombuffer(b"".join(pdf["_w"]), dtype=np.int64).reshape(len(pdf), -1)
+        if times is not None:
+            matrix = matrix * times[:, None]
+        code = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+        out = pdf[by].iloc[order[starts]].reset_index(drop=True)
+        out["_w"] = [w.tobytes() for w in np.add.reduceat(matrix[order], starts, axis=0)]
         return out
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
+        held = None
         for pdf in batches:
-            for cell, n, w in zip(
-                pdf[names].itertuples(index=False, name=None), pdf["_n"], pdf["_w"]
-            ):
-                add = np.frombuffer(w, dtype=np.int64) * int(n)
-                held[cell] = held[cell] + add if cell in held else add
+            if not len(pdf):
+                continue
+            part = added(pdf, names, pdf["_n"].to_numpy(dtype=np.int64))
+            held = part if held is None else added(pd.concat([held, part]), names, None)
             if len(held) > 4 * BUCKET_MEMBERS:
-                yield emit(held)
-                held = {}
-        if held:
-            yield emit(held)
+                yield held[[*names, "_w"]]
+                held = None
+        if held is not None:
+            yield held[[*names, "_w"]]
 
     partial = rows.mapInPandas(combine, sum_schema)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total: dict = {}
-        for cell, w in zip(pdf[CELL].itertuples(index=False, name=None), pdf["_w"]):
-            add = np.frombuffer(w, dtype=np.int64)
-            total[cell] = total[cell] + add if cell in total else add
-        flat = pd.DataFrame(list(total), columns=CELL)
-        for k in [*keys, "_b"]:
-            flat[k] = pdf[k].iloc[0]
-        return _packed(flat, keys, np.stack(list(total.values()), axis=1))
+        total = added(pdf, [*keys, "_b", *CELL], None)
+        matrix = np.frombuffer(b"".join(total["_w"]), dtype=np.int64).reshape(len(total), -1)
+        return _packed(total, keys, matrix.T)
 
     return partial.groupBy(*keys, "_b").applyInPandas(pack, _pack_schema(df, keys))
 
@@ -716,9 +727,13 @@ def calibration_replicates(packed: DataFrame, keys: list[str], n_boot: int) -> D
             *keys,
             F.flatten(F.transform("_s", lambda s: F.array(s["c0"], s["c1"]))).alias("coef"),
             F.transform("_s", lambda s: s["live"]).alias("live"),
-        ).where(F.exists("live", lambda v: v))
+        ).where(F.exists("live", lambda v: v)).persist()
+        unfinished = vectors.count()
+        if unfinished == 0:
+            break
+        small = F.broadcast(vectors) if unfinished <= MAX_BROADCAST_FITS else vectors
         sums = (
-            null_safe_join(packed, sized_broadcast(vectors, 64), keys)
+            null_safe_join(packed, small, keys)
             .mapInPandas(moments, moment_schema)
             .groupBy(*keys, "slot")
             .agg(
@@ -727,8 +742,7 @@ def calibration_replicates(packed: DataFrame, keys: list[str], n_boot: int) -> D
             )
         )
         state = _newton_step(state, sums, keys).checkpoint()
-        if state.where("status is null").limit(1).count() == 0:
-            break
+        vectors.unpersist()
     names = F.array(*[F.lit(s) for s in SCOPES])
     known = F.coalesce(F.col("status"), F.lit("not_converged"))
     fit_ok = known == "ok"

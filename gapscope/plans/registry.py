@@ -14,11 +14,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Moves exact decimal ties off the rounding boundary, where the last bit of a sum would decide.
+TIE_BREAK = 3.7e-10
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles for comparison across engines (partial sums arrive in any order)."""
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
+            (F.round(F.col(f"`{f.name}`") + F.lit(TIE_BREAK), digits) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -28,7 +32,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def rounded_sql(inner: str, doubles: str, digits: int = 6) -> str:
     """The same rounding around a SQL query; ``doubles`` lists its DOUBLE columns."""
-    parts = ", ".join(f"round({c}, {digits}) + 0.0 as {c}" for c in doubles.split())
+    parts = ", ".join(f"round({c} + {TIE_BREAK!r}::double, {digits}) + 0.0 as {c}" for c in doubles.split())
     return f"select * replace ({parts}) from ({inner}) final_rows"
 
 
