@@ -121,6 +121,11 @@ def prepare(train: DataFrame, spec: DesignSpec, part: str | None = None) -> dict
     return {v: _stages(spec, medians.get(v, {}), levels.get(v, {}), stats[v]) for v in parts}
 
 
+def fold_states(train: DataFrame, spec: DesignSpec, folds: int, fold: str = "fold") -> dict:
+    """Preprocessing of every fold's training half, from one set of grouped jobs."""
+    return prepare(training_folds(train, folds, fold), spec, "train_fold")
+
+
 def _part_moments(train: DataFrame, spec: DesignSpec, part: str, medians: dict, levels: dict) -> dict:
     """Mean and population sd of every design column, all parts in one grouped job."""
     columns = {}
@@ -244,7 +249,7 @@ def cross_validated_scores(
     single = [f for f in families if f != "calibrated_ensemble"]
     needed = list(dict.fromkeys([*single, *(ENSEMBLE_MEMBERS if "calibrated_ensemble" in families else ())]))
 
-    states = prepare(training_folds(rows, folds, fold), spec, "train_fold")
+    states = fold_states(rows, spec, folds, fold)
 
     def job(family: str, k: int):
         def run() -> DataFrame:
@@ -345,12 +350,16 @@ def _margin(df: DataFrame, family: str) -> DataFrame:
 
 def isotonic_fold_ensemble(
     train: DataFrame, spec: DesignSpec, family: str, folds: int = 5, y: str = "y_true",
-    fold: str = "fold", settings: PoolSettings = PoolSettings(),
+    fold: str = "fold", settings: PoolSettings = PoolSettings(), states: dict | None = None,
 ) -> FoldEnsemble:
-    """Per fold: base model on the other folds, isotonic map on the fold itself."""
+    """Per fold: base model on the other folds, isotonic map on the fold itself.
+
+    ``states`` are the folds' preprocessings when they are already known.
+    """
     rows = train.persist()
     rows.count()
-    states = prepare(training_folds(rows, folds, fold), spec, "train_fold")
+    if states is None:
+        states = fold_states(rows, spec, folds, fold)
 
     def job(k: int):
         def run():
@@ -479,9 +488,11 @@ def family_robustness(
 ) -> DataFrame:
     """Gap row of every family after isotonic fold calibration; a failure is an error row."""
     scored, failed = [], []
+    train = train.persist()
+    states = fold_states(train, spec, folds)
     for f in families:
         try:
-            ensemble = isotonic_fold_ensemble(train, spec, f, folds, y, "fold", settings)
+            ensemble = isotonic_fold_ensemble(train, spec, f, folds, y, "fold", settings, states)
             scored.append(ensemble.score(test, "prob").select(group, y, "prob").withColumn("family", F.lit(f)))
         except Exception as problem:
             failed.append((f, f"{type(problem).__name__}: {problem}"[:500]))

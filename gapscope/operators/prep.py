@@ -159,6 +159,12 @@ def expand_blocks(
     return out
 
 
+def cumulative_blocks(blocks: DataFrame, order: str, columns: str = "columns") -> DataFrame:
+    """Feature set of every step as covariate blocks accumulate (one row per block)."""
+    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("cumulative", F.flatten(F.collect_list(columns).over(upto)))
+
+
 def apply_design(
     df: DataFrame, keys: list[str], spec: DesignSpec, medians: DataFrame,
     levels: dict[str, list[str]], carry: list[str],

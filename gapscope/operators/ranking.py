@@ -59,6 +59,11 @@ def prefix_sums(
     )
 
 
+def _known(df: DataFrame, value: str) -> DataFrame:
+    """Rows with a value; NaN counts as missing."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
@@ -69,7 +74,7 @@ def exact_quantiles(
     ignored; a group without values yields no row.
     """
     w = F.lit(1) if weight is None else F.col(weight)
-    rows = df.where(F.col(value).isNotNull()).select(
+    rows = _known(df, value).select(
         *keys, F.col(value).cast("double").alias("_v"), w.cast("bigint").alias("_n")
     ).withColumn("_b", value_lattice("_v"))
 
@@ -132,7 +137,7 @@ def value_at_rank(
 ) -> DataFrame:
     """The ``rank``-th value per group; ``rank`` is an expression over ``_total`` and keys."""
     sign = -1.0 if descending else 1.0
-    rows = df.where(F.col(value).isNotNull()).select(
+    rows = _known(df, value).select(
         *keys, (F.col(value).cast("double") * F.lit(sign)).alias("_v")
     ).withColumn("_b", value_lattice("_v"))
     buckets = rows.groupBy(*keys, "_b").agg(

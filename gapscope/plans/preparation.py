@@ -98,7 +98,12 @@ def _(spark, d):
     return tables.union_files(spark, f"{folder}/*_performance.csv", counts.schema)
 
 
-@query("scan_jsonl")
+@query(
+    "scan_jsonl",
+    f"""with {ORD} select dataset, count(*)::bigint n, sum(y_true)::bigint n_pos, avg(y_true) prevalence,
+    'pipeline_analysis' record_type from ord group by dataset""",
+    "prevalence",
+)
 def _(spark, d):
     """Provenance records written as strict JSON lines and read back by kind."""
     counts = group_counts(scored_orders(spark, d), ["dataset"]).withColumn(
@@ -108,14 +113,32 @@ def _(spark, d):
     return tables.read_records(spark, folder, counts.schema)
 
 
-@query("sink_table")
+@query(
+    "sink_table",
+    f"""with {LINE} select dataset, subgroup, count(*)::bigint n, sum(y_true)::bigint n_pos, avg(y_true) prevalence
+    from line group by dataset, subgroup""",
+    "prevalence",
+)
 def _(spark, d):
     counts = group_counts(scored_lineitem(spark, d), ["dataset", "subgroup"])
     path = sinks.write_table(counts, scratch_folder(spark, "sink"))
     return spark.read.parquet(path)
 
 
-@query("sink_all_or_nothing")
+@query(
+    "sink_atomic_replace",
+    f"with {LINE} select dataset, count(*)::bigint n from line where subgroup = 'O' group by dataset",
+)
+def _(spark, d):
+    """A second write replaces the first as a whole."""
+    rows, path = scored_lineitem(spark, d), scratch_folder(spark, "replaced")
+    for label in ("F", "O"):
+        part = rows.where(F.col("subgroup") == label).groupBy("dataset").agg(F.count("*").alias("n"))
+        sinks.write_table(part, path)
+    return spark.read.parquet(path)
+
+
+@query("sink_all_or_nothing", f"with {LINE} select dataset, count(*)::bigint n from line group by dataset")
 def _(spark, d):
     """Both components are counted before either is written."""
     counts = group_counts(scored_lineitem(spark, d), ["dataset", "subgroup"])
@@ -672,7 +695,12 @@ def _(spark, d):
     return P.unseen_categories(rows, keys, SPEC.categorical, P.fit_categories(train, keys, SPEC.categorical))
 
 
-@query("expand_blocks")
+@query(
+    "expand_blocks",
+    f"""with {SURV}, b as (select 'time' block, 'hour' as column union all select 'activity', 'num'
+      union all select 'activity', 'cat_' || cat from (select distinct cat from surv where cat <> (select min(cat) from surv)) c)
+    select block, b.column, (select count(*)::bigint from surv) n_rows from b""",
+)
 def _(spark, d):
     """Covariate blocks with categorical sources replaced by learned indicators."""
     rows = survey_events(spark, d)
@@ -683,6 +711,26 @@ def _(spark, d):
     return counts.select("n_rows", F.explode(entries).alias("_e")).select("_e.*", "n_rows")
 
 
+@query(
+    "cumulative_blocks",
+    """select region_no, block, string_agg(member, ',' order by o_no, member) members from (
+      select a.r_regionkey region_no, a.r_name block, b.r_regionkey o_no, n.n_name member
+      from region a join region b on b.r_regionkey <= a.r_regionkey join nation n on n.n_regionkey = b.r_regionkey) x
+    group by 1, 2""",
+)
+def _(spark, d):
+    """Ordered blocks with the members of all blocks up to each (nations by region here)."""
+    members = read_table(spark, d, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_name")
+    blocks = (
+        read_table(spark, d, "region").join(members, "r_regionkey")
+        .groupBy(F.col("r_regionkey").alias("region_no"), F.col("r_name").alias("block"))
+        .agg(F.sort_array(F.collect_list("n_name")).alias("columns"))
+    )
+    return P.cumulative_blocks(blocks, "region_no").select(
+        "region_no", "block", F.concat_ws(",", "cumulative").alias("members")
+    )
+
+
 @query("preprocess_schema")
 def _(spark, d):
     rows, keys = survey_events(spark, d), ["subgroup"]
