@@ -226,6 +226,12 @@ def fit_family(
     return Fitted(family, [PipelineModel([*prepared.stages, estimator.fit(rows)])], list(spec.features))
 
 
+def _compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Cache training rows in tasks sized by their number, since fits are iterative."""
+    kept = df.persist()
+    return kept.coalesce(int(kept.count() // rows_per_task) + 1)
+
+
 def _settled(scores: DataFrame) -> DataFrame:
     """Score once and cut the lineage, so later jobs do not carry the fitted models."""
     ensure_checkpoint_dir(scores.sparkSession)
@@ -244,8 +250,7 @@ def cross_validated_scores(
     settings: PoolSettings = PoolSettings(),
 ) -> DataFrame:
     """Out-of-fold scores of every family; the voting family averages its members' fits."""
-    rows = train.persist()
-    rows.count()
+    rows = _compact(train)
     single = [f for f in families if f != "calibrated_ensemble"]
     needed = list(dict.fromkeys([*single, *(ENSEMBLE_MEMBERS if "calibrated_ensemble" in families else ())]))
 
@@ -356,8 +361,7 @@ def isotonic_fold_ensemble(
 
     ``states`` are the folds' preprocessings when they are already known.
     """
-    rows = train.persist()
-    rows.count()
+    rows = _compact(train)
     if states is None:
         states = fold_states(rows, spec, folds, fold)
 
@@ -488,7 +492,7 @@ def family_robustness(
 ) -> DataFrame:
     """Gap row of every family after isotonic fold calibration; a failure is an error row."""
     scored, failed = [], []
-    train = train.persist()
+    train = _compact(train)
     states = fold_states(train, spec, folds)
     for f in families:
         try:

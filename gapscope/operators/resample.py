@@ -720,6 +720,8 @@ def calibration_replicates(packed: DataFrame, keys: list[str], n_boot: int) -> D
         *keys, F.col("slot").cast("int").alias("slot"), F.lit(0.0).alias("c0"), F.lit(0.0).alias("c1"),
         F.lit(None).cast("string").alias("status"),
     ).checkpoint()
+    # The state is small beside the data: its tasks are sized by its own rows.
+    width = int(state.count() // 50_000) + 1
     for _ in range(NEWTON_STEPS):
         vectors = state.groupBy(*keys).agg(
             F.sort_array(F.collect_list(F.struct("slot", "c0", "c1", F.col("status").isNull().alias("live")))).alias("_s")
@@ -741,7 +743,7 @@ def calibration_replicates(packed: DataFrame, keys: list[str], n_boot: int) -> D
                 F.max("wmax").alias("wmax"), F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"),
             )
         )
-        state = _newton_step(state, sums, keys).checkpoint()
+        state = _newton_step(state, sums, keys).coalesce(width).checkpoint()
         vectors.unpersist()
     names = F.array(*[F.lit(s) for s in SCOPES])
     known = F.coalesce(F.col("status"), F.lit("not_converged"))
