@@ -7,11 +7,11 @@ Every filter below follows from that and loses no pair:
 1. *Equal sets* are one class, by fingerprint; members are linked without being compared.
 2. *Rare-first order* over a fixed region of the hash range. A token of the region that no other
    document holds is missing everywhere, so a document with more such tokens than its allowance has
-   no partner. One grouped count over the region's tokens settles most documents, and the others
-   meet in lists of their prefix (what is left of the allowance, plus one).
-3. *Hash order* over the whole range for sets too small to have a prefix in the region.
-4. *Two more hash orders*: a candidate pair must share a prefix token under each of them before its
-   sets are intersected.
+   no partner. One grouped count over the region's tokens settles most documents.
+3. *Rare-first order over all tokens* of the classes left. Partners meet in a list of their prefixes,
+   and neither may share fewer tokens with all others than the pair must have in common.
+4. *Two hash orders*: a candidate pair must share a prefix token under each of them before its sets
+   are intersected.
 
 Posting lists are never expanded into all their pairs. Each list is compared with a pivot first
 (a star), links are contracted to components, and only lists that still hold several components
@@ -118,62 +118,44 @@ def class_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("class", "text").mapInArrow(scan, "class long, size long, tokens binary")
 
 
-def postings_of(sets: DataFrame, percent: int, region: float, whole: bool) -> DataFrame:
-    """(token, class, size, inside): tokens in the region, or of the prefix in the whole hash range.
-
-    ``inside`` is the number of a set's tokens in the region.
-    """
-    top = np.uint64(int(region * 2**64))
+def postings_of(sets: DataFrame) -> DataFrame:
+    """(token, class, size): one row per token of each set."""
 
     def scan(batches):
         for batch in batches:
             sizes = batch.column(1).to_numpy()
-            found = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(2)]
-            inside = np.array([np.searchsorted(x, top) for x in found], dtype=np.int64)
-            keep = allowance(sizes, percent) + 1 if whole else inside
-            if found:
+            tokens = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(2)]
+            if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([x[:k] for x, k in zip(found, keep)]).view(np.int64)),
-                        pa.array(np.repeat(batch.column(0).to_numpy(), keep)),
-                        pa.array(np.repeat(sizes, keep)),
-                        pa.array(np.repeat(inside, keep)),
+                        pa.array(np.concatenate(tokens)),
+                        pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
+                        pa.array(np.repeat(sizes, sizes)),
                     ],
-                    names=["token", "class", "size", "inside"],
+                    names=["token", "class", "size"],
                 )
 
-    return sets.mapInArrow(scan, "token long, class long, size long, inside long")
+    return sets.mapInArrow(scan, "token long, class long, size long")
 
 
-def candidate_lists(sets: DataFrame, percent: int, region: float) -> DataFrame:
-    """(token, sparse_list, class, size, sparse): lists such that similar classes meet in one.
+def candidate_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, class, size, shared): posting lists such that similar classes meet in one.
 
-    Within the region the order is rare-first by the exact count among the classes. At most
-    ``allowance`` of a class's tokens there are missing in a partner and those that no other class
-    holds always are, so the rest of the allowance, plus one, of its rarest shared tokens is the
-    prefix. A class with no more tokens in the region than its allowance is *sparse*: it meets its
-    partners in lists of hash-order prefixes over the whole range.
+    The order is rare-first by the exact count among these classes. A token that no other class
+    holds is missing from every partner; of the ``shared`` others a partner may lack what is left
+    of the allowance, so one of that many and one more of the rarest is in both prefixes.
     """
     allowed = f"(size - ceil(size * {percent} / 100))"
-    raw = postings_of(sets, percent, region, whole=False).where(f"inside > {allowed}")
+    raw = postings_of(sets)
     counts = raw.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     by_class = Window.partitionBy("class")
-    dense = (
+    return (
         raw.join(counts, "token")
         .withColumn("rank", F.row_number().over(by_class.orderBy("n", "token")))
         .withColumn("shared", F.count("*").over(by_class))
-        .where(f"rank <= {allowed} - (inside - shared) + 1")
-        .select("token", F.lit(False).alias("sparse_list"), "class", "size", F.lit(False).alias("sparse"))
+        .where(f"rank <= {allowed} - (size - shared) + 1")
+        .select("token", "class", "size", "shared")
     )
-    prefixes = postings_of(sets, percent, region, whole=True)
-    tokens = (
-        prefixes.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.expr(f"inside <= {allowed}")).alias("few"))
-        .where("n > 1 and few > 0").select("token")
-    )
-    sparse = prefixes.join(tokens, "token").select(
-        "token", F.lit(True).alias("sparse_list"), "class", "size", F.expr(f"inside <= {allowed}").alias("sparse")
-    )
-    return dense.unionByName(sparse)
 
 
 def _prefix(tokens: np.ndarray, seed: int, keep: int) -> np.ndarray:
@@ -215,43 +197,39 @@ def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     )
 
 
-def class_links(sets: DataFrame, percent: int, region: float = REGION, stars: int = 2) -> DataFrame:
+def class_links(sets: DataFrame, percent: int, stars: int = 3) -> DataFrame:
     """Links (a, b) between classes that connect exactly what all similar pairs connect."""
-    compatible = f"100 * least(size, p.size) >= {percent} * greatest(size, p.size)"
-    postings = written(candidate_lists(sets, percent, region), "postings")
-    key = ["token", "sparse_list"]
+    possible = f"(100 + {percent}) * least(shared, x.shared) >= {percent} * (size + x.size)"
+    postings = written(candidate_lists(sets, percent), "postings")
     links = roots = None
     for _ in range(stars):
         # each list's pivot is its class of smallest mixed value, each class takes its smallest pivot
         rows = _labelled(postings, roots)
         pivots = (
-            rows.groupBy(*key)
-            .agg(F.min(F.struct(F.xxhash64("class").alias("h"), "class", "size", "root", "sparse")).alias("p"),
+            rows.groupBy("token")
+            .agg(F.min(F.struct(F.xxhash64("class").alias("h"), "class", "size", "shared", "root")).alias("x"),
                  F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .where("lo <> hi").select(*key, "p")
+            .where("lo <> hi").select("token", "x")
         )
         pairs = (
-            rows.join(pivots, key).where(f"root <> p.root and {compatible} and (not sparse_list or sparse or p.sparse)")
-            .groupBy(F.col("class").alias("a")).agg(F.min("p").alias("p")).select("a", F.col("p.class").alias("b"))
+            rows.join(pivots, "token").where(f"root <> x.root and {possible}")
+            .groupBy(F.col("class").alias("a")).agg(F.min("x").alias("x")).select("a", F.col("x.class").alias("b"))
         )
         new = verified(pairs, sets, percent)
         links = written(new if links is None else links.unionByName(new), "links")
         roots = written(components(links), "roots")
     rows = _labelled(postings, roots)
     spread = (
-        rows.groupBy(*key, "root").agg(F.count("*").alias("n"))
-        .groupBy(*key).agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-        .where("roots > 1").select(*key, F.col("main.root").alias("main"))
+        rows.groupBy("token", "root").agg(F.count("*").alias("n"))
+        .groupBy("token").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+        .where("roots > 1").select("token", F.col("main.root").alias("main"))
     )
-    opened = written(rows.join(spread, key), "opened")
-    outside = opened.where("root <> main").select(*key, *[F.col(c).alias(f"x_{c}") for c in ("class", "size", "root", "sparse")])
+    opened = written(rows.join(spread, "token"), "opened")
+    outside = opened.where("root <> main").select("token", F.struct("class", "size", "shared", "root").alias("x"))
     pairs = (
-        outside.join(opened, key)
-        .where(
-            "root <> x_root and (root = main or class > x_class) and (not sparse_list or sparse or x_sparse)"
-            f" and 100 * least(size, x_size) >= {percent} * greatest(size, x_size)"
-        )
-        .select(F.least("class", "x_class").alias("a"), F.greatest("class", "x_class").alias("b")).distinct()
+        outside.join(opened, "token")
+        .where(f"root <> x.root and (root = main or class > x.class) and {possible}")
+        .select(F.least("class", "x.class").alias("a"), F.greatest("class", "x.class").alias("b")).distinct()
     )
     return links.unionByName(verified(pairs, sets, percent))
 
@@ -274,7 +252,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, region: float =
         .groupBy("class").agg(F.min("_row").alias("_row"))
     )
     sets = written(class_sets(docs.select("_row", "text").join(alive, "_row"), n), "sets")
-    roots = components(class_links(sets, percent, region))
+    roots = components(class_links(sets, percent))
     return (
         profile.join(roots.withColumnRenamed("node", "class"), "class", "left")
         .select("_row", "size", "class", F.coalesce("root", "class").alias("root"))
