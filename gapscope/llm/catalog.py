@@ -1,4 +1,4 @@
 """Imports every module with queries of this subpackage."""
 
-from . import lbl, ngram_join, repetition  # noqa: F401
+from . import collision_search, lbl, ngram_join, packing, repetition, warc  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
