@@ -1,4 +1,4 @@
 """Imports every module with queries of this subpackage."""
 
-from . import collision_search, debruijn, lbl, ngram_join, packing, repetition, warc  # noqa: F401
+from . import collision_search, crf, debruijn, lbl, mixing, ngram_join, packing, repetition, secrets, warc  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
