@@ -197,23 +197,28 @@ def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     )
 
 
-def class_links(sets: DataFrame, percent: int, stars: int = 3) -> DataFrame:
+def class_links(sets: DataFrame, percent: int, stars: int = 5, tries: int = 2) -> DataFrame:
     """Links (a, b) between classes that connect exactly what all similar pairs connect."""
     possible = f"(100 + {percent}) * least(shared, x.shared) >= {percent} * (size + x.size)"
     postings = written(candidate_lists(sets, percent), "postings")
     links = roots = None
-    for _ in range(stars):
-        # each list's pivot is its class of smallest mixed value, each class takes its smallest pivot
+    for star in range(stars):
+        # each list has ``tries`` random pivots, new ones each time; a class is held against those
+        # that it meets in most of its lists
         rows = _labelled(postings, roots)
+        lows = [
+            F.min(F.struct(F.xxhash64("class", F.lit(star * tries + i)).alias("h"), "class", "size", "shared", "root"))
+            for i in range(tries)
+        ]
         pivots = (
-            rows.groupBy("token")
-            .agg(F.min(F.struct(F.xxhash64("class").alias("h"), "class", "size", "shared", "root")).alias("x"),
-                 F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .where("lo <> hi").select("token", "x")
+            rows.groupBy("token").agg(F.array(*lows).alias("xs"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .where("lo <> hi").select("token", F.explode(F.array_distinct("xs")).alias("x"))
         )
+        best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
         pairs = (
             rows.join(pivots, "token").where(f"root <> x.root and {possible}")
-            .groupBy(F.col("class").alias("a")).agg(F.min("x").alias("x")).select("a", F.col("x.class").alias("b"))
+            .groupBy(F.col("class").alias("a"), F.col("x.class").alias("b")).agg(F.count("*").alias("n"))
+            .withColumn("r", F.row_number().over(best)).where(F.col("r") <= tries).select("a", "b")
         )
         new = verified(pairs, sets, percent)
         links = written(new if links is None else links.unionByName(new), "links")
