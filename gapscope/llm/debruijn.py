@@ -18,14 +18,16 @@ each other's windows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import register, row_keyed, table, written
-from .textops import Words, mix, span_hash, word_slices, WORD_BASE
+from .textops import WORD_BASE, Words, buffers, mix, span_hash, word_slices
 
 WINDOW = 35
 K = 10
@@ -118,6 +120,28 @@ def compacted(nodes: DataFrame) -> DataFrame:
     )
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` compressed, for the shuffles."""
+
+    def scan(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            offsets, raw = buffers(batch.column(1))
+            data = memoryview(raw)
+            small = [squeeze.compress(data[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["_row", "packed"])
+
+    return docs.select("_row", "text").mapInArrow(scan, "_row long, packed binary")
+
+
+def unsqueezed(column: pa.Array, step: int = 500) -> Iterator[tuple[int, pa.Array]]:
+    """The texts of a compressed column, a few hundred at a time, with the first one's number."""
+    expand = zstandard.ZstdDecompressor()
+    for i in range(0, len(column), step):
+        part = [expand.decompress(x.as_buffer()) if x.as_buffer().size else b"" for x in column.slice(i, step)]
+        yield i, pa.array(part, pa.large_binary()).cast(pa.large_string())
+
+
 def marks_of(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(place in the slice, length) of the marks of its documents."""
     part = column.slice(words.first, words.docs)
@@ -127,6 +151,13 @@ def marks_of(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at + np.repeat(words.doc_words[:-1], sizes), length
 
 
+def _slices(column: pa.Array) -> Iterator[Words]:
+    for first, texts in unsqueezed(column):
+        for words in word_slices(texts):
+            words.first += first
+            yield words
+
+
 def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in one of the ranges."""
     delta = np.zeros(n + 1, dtype=np.int64)
@@ -142,7 +173,7 @@ def repeated_windows(marked: DataFrame, window: int, k: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for words in word_slices(batch.column(1)):
+            for words in _slices(batch.column(1)):
                 hashes = words.hashes()
                 _, starts, least = anchors(words, hashes, window, k)
                 at, length = marks_of(batch.column(2), words)
@@ -180,7 +211,7 @@ def repeated_windows(marked: DataFrame, window: int, k: int) -> DataFrame:
                     names=["_row", "window", "at", "n"],
                 )
 
-    return marked.select("_row", "text", "marks").mapInArrow(scan, "_row long, window long, at long, n long")
+    return marked.select("_row", "packed", "marks").mapInArrow(scan, "_row long, window long, at long, n long")
 
 
 def removal_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -194,7 +225,7 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
         node_rows(docs, window, k, places=True).join(places, "node")
         .groupBy("_row").agg(F.collect_list(F.struct((F.col("at") - F.col("left")).alias("at"), "length")).alias("marks"))
     )
-    found = written(repeated_windows(docs.select("_row", "text").join(marks, "_row"), window, k), "windows")
+    found = written(repeated_windows(squeezed(docs).join(marks, "_row"), window, k), "windows")
     compare = found.where("window is not null")
     twice = compare.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
     spans = compare.join(twice, "window").select("_row", "at", F.lit(window).cast("long").alias("n")).unionByName(
@@ -208,11 +239,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bo
     keyed = row_keyed(docs.select("doc_id", "text"))
     spans = removal_spans(keyed, window, k)
     none = F.array().cast("array<struct<at:bigint,n:bigint>>")
-    both = keyed.join(spans, "_row", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    ids = keyed.select("_row", "doc_id")
+    both = squeezed(keyed).join(spans, "_row", "left").select("_row", "packed", F.coalesce("spans", none).alias("spans"))
 
     def scan(batches):
         for batch in batches:
-            for words in word_slices(batch.column(1)):
+            for words in _slices(batch.column(1)):
                 at, n = marks_of(batch.column(2), words)
                 gone = cover(len(words.starts), at, at + n)
                 removed = np.concatenate(([0], np.cumsum(gone)))
@@ -226,17 +258,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bo
                 kept_at = ends[words.doc_words - removed[words.doc_words]]
                 blocks = [out[a : b - 1].tobytes() if b > a else b"" for a, b in zip(kept_at, kept_at[1:])]
                 columns = [
-                    batch.column(0).slice(words.first, words.docs).cast(pa.int64()), pa.array(words.counts()),
+                    batch.column(0).slice(words.first, words.docs), pa.array(words.counts()),
                     pa.array(removed[words.doc_words[1:]] - removed[words.doc_words[:-1]]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in blocks]),
                 ]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                names = ["_row", "n_words", "n_removed", "kept_sha256"]
                 if texts:
                     columns, names = [*columns, pa.array([x.decode() for x in blocks])], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    return both.mapInArrow(scan, schema)
+    schema = "_row long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
+    return ids.join(both.mapInArrow(scan, schema), "_row").drop("_row")
 
 
 @register("op6_de_bruijn_substring_dedup")
