@@ -101,7 +101,7 @@ def run_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     )
     if one_sided:
         names = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in one_sided])
-        head = old.limit(1).select(F.explode(names).alias("_x"))
+        head = old.sparkSession.range(1).select(F.explode(names).alias("_x"))
         out = out.unionByName(
             head.select(
                 F.lit("").alias("row_key"), F.col("_x.c").alias("column"),
@@ -139,7 +139,7 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 def schema_rows(df: DataFrame, name: str) -> DataFrame:
     """(table, column) rows of a table's schema, one small row set."""
     columns = F.array(*[F.lit(c) for c in df.columns])
-    return df.limit(1).select(F.lit(name).alias("name"), F.explode(columns).alias("column"))
+    return df.sparkSession.range(1).select(F.lit(name).alias("name"), F.explode(columns).alias("column"))
 
 
 def field_acceptance(df: DataFrame, field_class: str, first: str, second: str) -> DataFrame:

@@ -420,7 +420,7 @@ def non_dominated(points: DataFrame, keys: list[str], name: str = "pareto_optima
         strict = strict | (F.col(f"_o_{m}") < F.col(m))
     same = F.lit(True)
     for k in keys:
-        same = same & (F.col(k) == F.col(f"_k_{k}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     best = distinct.join(other, same & no_worse & strict, "left_anti").withColumn(name, F.lit(True))
     flagged = null_safe_join(points, best, [*keys, *measures], "left")
     return flagged.withColumn(name, F.coalesce(F.col(name), F.lit(False)))

@@ -27,13 +27,15 @@ def local_session(cpus: str = "8", app: str = "gapscope") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a scratch one only if unset."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a scratch one only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
@@ -65,8 +67,7 @@ def null_safe_join(
     for c in on:
         term = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
         condition = term if condition is None else condition & term
-    hinted = renamed
-    joined = left.join(hinted, condition, how)
+    joined = left.join(renamed, condition, how)
     if how in ("left_semi", "left_anti"):
         return joined
     return joined.drop(*[f"_r_{c}" for c in on])
