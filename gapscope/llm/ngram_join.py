@@ -14,8 +14,8 @@ Every filter below follows from that and loses no pair:
    are intersected.
 
 Posting lists are never expanded into all their pairs. Each list is compared with a pivot first
-(a star), links are contracted to components, and only lists that still hold several components
-are opened, joining what lies outside a list's main component with the list. Empty and null texts
+(a star): the class whose tokens are the most common, then random ones. Links are contracted to
+components, and only lists that still hold several components are opened, joining what lies outside a list's main component with the list. Empty and null texts
 have no tokens and link with nothing; a text of fewer than n words is one token; equal rows link.
 """
 
@@ -139,9 +139,10 @@ def postings_of(sets: DataFrame) -> DataFrame:
 
 
 def candidate_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, class, size, shared): posting lists such that similar classes meet in one.
+    """(token, class, size, shared, rank, centre): posting lists such that similar classes meet in one.
 
-    The order is rare-first by the exact count among these classes. A token that no other class
+    ``centre`` is the mean logarithm of the counts of a class's tokens: of a family of edited copies
+    the text that they were made from has the most. The order is rare-first by the exact count among these classes. A token that no other class
     holds is missing from every partner; of the ``shared`` others a partner may lack what is left
     of the allowance, so one of that many and one more of the rarest is in both prefixes.
     """
@@ -153,8 +154,9 @@ def candidate_lists(sets: DataFrame, percent: int) -> DataFrame:
         raw.join(counts, "token")
         .withColumn("rank", F.row_number().over(by_class.orderBy("n", "token")))
         .withColumn("shared", F.count("*").over(by_class))
+        .withColumn("centre", F.sum(F.ln("n")).over(by_class) / F.col("size"))
         .where(f"rank <= {allowed} - (size - shared) + 1")
-        .select("token", "class", "size", "shared")
+        .select("token", "class", "size", "shared", "rank", "centre")
     )
 
 
@@ -197,21 +199,23 @@ def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     )
 
 
-def class_links(sets: DataFrame, percent: int, stars: int = 5, tries: int = 2) -> DataFrame:
+def class_links(sets: DataFrame, percent: int, stars: int = 4, tries: int = 3) -> DataFrame:
     """Links (a, b) between classes that connect exactly what all similar pairs connect."""
-    possible = f"(100 + {percent}) * least(shared, x.shared) >= {percent} * (size + x.size)"
+    # at a pair's first common token nothing before it is common, so what is left must be enough
+    possible = f"(100 + {percent}) * (1 + least(shared - rank, x.shared - x.rank)) >= {percent} * (size + x.size)"
     postings = written(candidate_lists(sets, percent), "postings")
     links = roots = None
     for star in range(stars):
-        # each list has ``tries`` random pivots, new ones each time; a class is held against those
-        # that it meets in most of its lists
+        # first the most central class of each list is its pivot, then ``tries`` random ones, new
+        # ones each time; a class is held against those that it meets in most of its lists
         rows = _labelled(postings, roots)
-        lows = [
-            F.min(F.struct(F.xxhash64("class", F.lit(star * tries + i)).alias("h"), "class", "size", "shared", "root"))
-            for i in range(tries)
+        fields = ["class", "size", "shared", "rank", "root"]
+        heads = [F.struct((-F.col("centre")).alias("h"), *fields)] if star == 0 else [
+            F.struct(F.xxhash64("class", F.lit(star * tries + i)).cast("double").alias("h"), *fields) for i in range(tries)
         ]
         pivots = (
-            rows.groupBy("token").agg(F.array(*lows).alias("xs"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            rows.groupBy("token")
+            .agg(F.array(*[F.min(h) for h in heads]).alias("xs"), F.min("root").alias("lo"), F.max("root").alias("hi"))
             .where("lo <> hi").select("token", F.explode(F.array_distinct("xs")).alias("x"))
         )
         best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
@@ -230,7 +234,7 @@ def class_links(sets: DataFrame, percent: int, stars: int = 5, tries: int = 2) -
         .where("roots > 1").select("token", F.col("main.root").alias("main"))
     )
     opened = written(rows.join(spread, "token"), "opened")
-    outside = opened.where("root <> main").select("token", F.struct("class", "size", "shared", "root").alias("x"))
+    outside = opened.where("root <> main").select("token", F.struct("class", "size", "shared", "rank", "root").alias("x"))
     pairs = (
         outside.join(opened, "token")
         .where(f"root <> x.root and (root = main or class > x.class) and {possible}")
