@@ -199,7 +199,7 @@ def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     )
 
 
-def class_links(sets: DataFrame, percent: int, stars: int = 4, tries: int = 3) -> DataFrame:
+def class_links(sets: DataFrame, percent: int, stars: int = 3, tries: int = 3) -> DataFrame:
     """Links (a, b) between classes that connect exactly what all similar pairs connect."""
     # at a pair's first common token nothing before it is common, so what is left must be enough
     possible = f"(100 + {percent}) * (1 + least(shared - rank, x.shared - x.rank)) >= {percent} * (size + x.size)"
@@ -224,8 +224,10 @@ def class_links(sets: DataFrame, percent: int, stars: int = 4, tries: int = 3) -
             .groupBy(F.col("class").alias("a"), F.col("x.class").alias("b")).agg(F.count("*").alias("n"))
             .withColumn("r", F.row_number().over(best)).where(F.col("r") <= tries).select("a", "b")
         )
-        new = verified(pairs, sets, percent)
-        links = written(new if links is None else links.unionByName(new), "links")
+        new = written(verified(pairs, sets, percent), "links")
+        if not new.limit(1).count():
+            break
+        links = new if links is None else links.unionByName(new)
         roots = written(components(links), "roots")
     rows = _labelled(postings, roots)
     spread = (
@@ -240,7 +242,8 @@ def class_links(sets: DataFrame, percent: int, stars: int = 4, tries: int = 3) -
         .where(f"root <> x.root and (root = main or class > x.class) and {possible}")
         .select(F.least("class", "x.class").alias("a"), F.greatest("class", "x.class").alias("b")).distinct()
     )
-    return links.unionByName(verified(pairs, sets, percent))
+    last = verified(pairs, sets, percent)
+    return last if links is None else links.unionByName(last)
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, region: float = REGION) -> DataFrame:
