@@ -38,7 +38,7 @@ from .prep import (
     level_lists,
     training_folds,
 )
-from .regress import fit_logistic, moments, with_zscores
+from .regress import NUMERICAL, fit_logistic, moments, with_zscores
 from .thresholds import equal_sensitivity_threshold
 
 # The candidate families in declaration order.
@@ -56,9 +56,13 @@ class SelectionError(RuntimeError):
 
 @dataclass(frozen=True)
 class PoolSettings:
-    """Sizes of the tree families (the defaults are the study's)."""
+    """Sizes of the tree families (the defaults are the study's).
+
+    The study's forest has no depth limit; 30 is the deepest that Spark grows.
+    """
 
     forest_trees: int = 300
+    forest_depth: int = 30
     boosted_rounds: int = 300
     seed: int = 42
     parallelism: int = 4
@@ -188,7 +192,7 @@ def _estimator(family: str, n: float, s: PoolSettings):
         )
     if family == "random_forest":
         return RandomForestClassifier(
-            featuresCol="_x", numTrees=s.forest_trees, maxDepth=12, minInstancesPerNode=5, **shared
+            featuresCol="_x", numTrees=s.forest_trees, maxDepth=s.forest_depth, minInstancesPerNode=5, **shared
         )
     if family == "shallow_tree":
         return DecisionTreeClassifier(featuresCol="_x", maxDepth=3, minInstancesPerNode=20, **shared)
@@ -498,7 +502,7 @@ def family_robustness(
         try:
             ensemble = isotonic_fold_ensemble(train, spec, f, folds, y, "fold", settings, states)
             scored.append(ensemble.score(test, "prob").select(group, y, "prob").withColumn("family", F.lit(f)))
-        except Exception as problem:
+        except NUMERICAL as problem:
             failed.append((f, f"{type(problem).__name__}: {problem}"[:500]))
     spark = test.sparkSession
     errors = spark.createDataFrame(failed, "family string, error string")

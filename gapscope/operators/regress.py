@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.errors import ArithmeticException, IllegalArgumentException, UnsupportedOperationException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -20,6 +21,8 @@ from ..functions.tails import Z975
 
 SMALLEST_GROUP = 5
 SMALLEST_SAMPLE = 20
+#: Failures of a fit itself (singular, no rows, overflow); a failed job is raised.
+NUMERICAL = (IllegalArgumentException, ArithmeticException, UnsupportedOperationException, ArithmeticError, ValueError)
 
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -202,7 +205,7 @@ def error_waterfall(
         try:
             term = fit_glm(rows, ["in_a", *[f"z_{c}" for c in cs]], "error")["in_a"]
             coef, (low, high), p = _finite(term.estimate), term.limits, _finite(term.p)
-        except Exception:
+        except NUMERICAL:
             coef = low = high = p = None
         raw = coef if i == 0 else raw
         explained = 100.0 * (raw - coef) / raw if raw and coef is not None else None
@@ -250,7 +253,7 @@ def interaction_test(
         )
         try:
             fit = fit_glm(z, ["in_a", f"z_{m}", "product", *[f"z_{c}" for c in adjusters]], "error")
-        except Exception as failure:
+        except NUMERICAL as failure:
             out.append((m, "nonestimable", *empty, n, e, f"fit failed: {type(failure).__name__}"))
             continue
         term = fit["product"]
@@ -306,7 +309,7 @@ def standardised_error_gap(
             F.avg(outcome.probability({"in_a": F.lit(1.0)}))
             - F.avg(outcome.probability({"in_a": F.lit(0.0)}))
         ).first()[0]
-    except Exception:
+    except NUMERICAL:
         gap = None
     try:
         propensity = fit_logistic(z, names, "in_a")
@@ -316,7 +319,7 @@ def standardised_error_gap(
         weighted = z.withColumn("_w", w)
         mean = lambda cond: F.sum(F.when(cond, F.col("_w") * F.col("error"))) / F.sum(F.when(cond, F.col("_w")))
         ipw = weighted.agg(mean(in_a) - mean(~in_a)).first()[0]
-    except Exception:
+    except NUMERICAL:
         ipw = None
     rows.unpersist()
     attenuation = 100.0 * (raw - gap) / raw if raw and gap is not None else None
