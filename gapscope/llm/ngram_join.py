@@ -83,7 +83,11 @@ def profiles(docs: DataFrame, n: int, region: float) -> DataFrame:
 
 
 def region_tokens(docs: DataFrame, n: int, region: float) -> DataFrame:
-    """(token, _row) for the tokens whose hash lies in the region."""
+    """(token, _row) for the tokens whose hash lies in the region.
+
+    Their first 48 bits only, to shuffle less: tokens that agree in these count as shared, so the
+    filter keeps a document too many, never one too few.
+    """
     top = np.uint64(int(region * 2**64))
 
     def scan(batches):
@@ -92,9 +96,8 @@ def region_tokens(docs: DataFrame, n: int, region: float) -> DataFrame:
             for words in word_slices(batch.column(1), lower=True, size=1 << 18):
                 found = [s[: np.searchsorted(s, top)] for s in token_sets(words, n)]
                 owner = np.repeat(rows[words.first : words.first + words.docs], [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(owner)], names=["token", "_row"]
-                )
+                tokens = (np.concatenate(found) >> np.uint64(16)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["token", "_row"])
 
     return docs.select("_row", "text").mapInArrow(scan, "token long, _row long")
 
@@ -249,8 +252,9 @@ def class_links(sets: DataFrame, percent: int, stars: int = 3, tries: int = 3) -
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, region: float = REGION) -> DataFrame:
     """``docs`` (with a unique long ``_row`` and ``text``) -> (_row, size, class, root).
 
-    ``root`` numbers the connected group of similar documents (the smallest class in it); documents
-    without tokens have null class and root.
+    ``root`` numbers the connected group of similar documents (the smallest ``_row`` in it); documents
+    without tokens have null class and root. Classes are joined under the ``_row`` of their first
+    member: row numbers take fewer bytes of a shuffle than fingerprints do.
     """
     profile = written(profiles(docs, n, region), "profiles")
     alone = (
@@ -258,16 +262,20 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, region: float =
         .agg(F.count("*").alias("n"), F.min("_row").alias("_row")).where("n = 1")
         .groupBy("_row").agg(F.count("*").alias("missing"))
     )
-    alive = (
+    alive = written(
         profile.join(alone, "_row", "left")
         .where(f"size > 0 and coalesce(missing, 0) <= size - ceil(size * {percent} / 100)")
-        .groupBy("class").agg(F.min("_row").alias("_row"))
+        .groupBy("class").agg(F.min("_row").alias("_row")),
+        "alive",
     )
-    sets = written(class_sets(docs.select("_row", "text").join(alive, "_row"), n), "sets")
-    roots = components(class_links(sets, percent))
+    first = docs.select("_row", "text").join(alive.select("_row"), "_row").select(F.col("_row").alias("class"), "text")
+    sets = written(class_sets(first, n), "sets")
+    linked = components(class_links(sets, percent)).withColumnRenamed("node", "_row")
+    roots = alive.join(linked, "_row", "left").select("class", F.coalesce("root", "_row").alias("root"))
+    # a class that is not alive holds a token of its own, so it has one row
     return (
-        profile.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        .select("_row", "size", "class", F.coalesce("root", "class").alias("root"))
+        profile.join(roots, "class", "left")
+        .select("_row", "size", "class", F.expr("if(class is null, null, coalesce(root, _row))").alias("root"))
     )
 
 
