@@ -169,7 +169,14 @@ def _prefix(tokens: np.ndarray, seed: int, keep: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets reach the similarity."""
+    """Of the pairs (a, b) those whose sets reach the similarity.
+
+    The pairs are written first, so that Spark knows how few they are and only the sets they name
+    are shuffled.
+    """
+    pairs = written(pairs, "pairs")
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "named")
+    sets = sets.join(named, "class", "left_semi")
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
