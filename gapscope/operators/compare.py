@@ -142,6 +142,14 @@ def schema_rows(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(name).alias("name"), F.explode(columns).alias("column"))
 
 
+def filled_columns(df: DataFrame, name: str) -> DataFrame:
+    """(table, column) rows of the columns that hold a value in some row, from one scan."""
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "name string, column string")
+    kept = F.array_compact(F.array(*[F.when(F.count(F.col(f"`{c}`")) > 0, F.lit(c)) for c in df.columns]))
+    return df.agg(kept.alias("_c")).select(F.lit(name).alias("name"), F.explode("_c").alias("column"))
+
+
 def field_acceptance(df: DataFrame, field_class: str, first: str, second: str) -> DataFrame:
     """Accept or reject a pair of values by the rule of its field class.
 

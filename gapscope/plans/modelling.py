@@ -25,8 +25,12 @@ from .registry import (
     scored_orders,
 )
 
-REPLICATES = 200
-POOL = L.PoolSettings(forest_trees=10, boosted_rounds=5)
+REPLICATES = 1000
+IPW_REPLICATES = 500
+CURVE_REPLICATES = 300
+OUTCOME_PERMUTATIONS = 200
+POOL = L.PoolSettings()
+SPLIT_SEEDS = list(range(10))
 SPEC = DesignSpec(["prob", "price", "balance", "status"], [Categorical("status", "status", True)])
 BLOCKS = {"amounts": ["price_k", "balance_k"], "score": ["prob"]}
 
@@ -63,13 +67,13 @@ def _(spark, d):
 @query("bootstrap_clusters")
 def _(spark, d):
     return RS.bootstrap_comparison(
-        lines(spark, d), ["dataset"], "subgroup", A_LINE, B_LINE, "cluster_id", n_boot=50
+        lines(spark, d), ["dataset"], "subgroup", A_LINE, B_LINE, "cluster_id", n_boot=REPLICATES
     )[0]
 
 
 @query("calibration_status_counts")
 def _(spark, d):
-    return RS.bootstrap_comparison(lines(spark, d), ["dataset"], "subgroup", A_LINE, B_LINE, n_boot=20)[1]
+    return RS.bootstrap_comparison(lines(spark, d), ["dataset"], "subgroup", A_LINE, B_LINE, n_boot=REPLICATES)[1]
 
 
 POINTS_SQL = f"""with {LINE}, c as (select dataset,
@@ -125,12 +129,12 @@ def _(spark, d):
 
 @query("ipw_interval")
 def _(spark, d):
-    return RS.ipw_interval(lines(spark, d), ["dataset"], "subgroup", A_LINE, B_LINE, REPLICATES)
+    return RS.ipw_interval(lines(spark, d), ["dataset"], "subgroup", A_LINE, B_LINE, IPW_REPLICATES)
 
 
 @query("calibration_curve_ci")
 def _(spark, d):
-    return RS.calibration_curve_ci(lines(spark, d), ["dataset", "subgroup"], REPLICATES)
+    return RS.calibration_curve_ci(lines(spark, d), ["dataset", "subgroup"], CURVE_REPLICATES)
 
 
 NEWTON_SQL = f"""with recursive {LINE},
@@ -162,7 +166,7 @@ def _(spark, d):
 def _(spark, d):
     train, test = train_test(spark, d)
     return PM.outcome_permutation(
-        train, test, ["prob", "price_k", "balance_k"], "subgroup", A_ORD, B_ORD, n_perm=50, threshold=0.4
+        train, test, ["prob", "price_k", "balance_k"], "subgroup", A_ORD, B_ORD, n_perm=OUTCOME_PERMUTATIONS, threshold=0.4
     )
 
 
@@ -172,7 +176,7 @@ def _(spark, d):
     rows, keys = scored_orders(spark, d), ["dataset"]
     kept = rows.where(F.col("subgroup").isin(A_ORD, B_ORD))
     table, statuses = RS.bootstrap_comparison(
-        kept, keys, "subgroup", A_ORD, B_ORD, cluster="cluster_id", n_boot=50
+        kept, keys, "subgroup", A_ORD, B_ORD, cluster="cluster_id", n_boot=REPLICATES
     )
     from ..operators.report import performance_rows
 
@@ -343,6 +347,6 @@ def _(spark, d):
 @query("repeated_splits")
 def _(spark, d):
     return L.repeated_splits(
-        two_segments(spark, d), SPEC, "subgroup", A_ORD, B_ORD, [0, 1], folds=5, cluster="cluster_id",
+        two_segments(spark, d), SPEC, "subgroup", A_ORD, B_ORD, SPLIT_SEEDS, folds=5, cluster="cluster_id",
         settings=POOL,
     )

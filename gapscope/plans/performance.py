@@ -278,6 +278,17 @@ def _(spark, d):
     return M.score_distribution(scored_lineitem(spark, d), KEYS)
 
 
+@query(
+    "score_distribution_negatives",
+    f"""with {LINE} select dataset, subgroup, count(prob)::bigint n, avg(prob) mean, stddev_pop(prob) sd,
+    quantile_cont(prob, 0.25) q25, quantile_cont(prob, 0.5) median, quantile_cont(prob, 0.75) q75
+    from line where y_true = 0 group by dataset, subgroup""",
+    "mean sd q25 median q75",
+)
+def _(spark, d):
+    return M.score_distribution(scored_lineitem(spark, d), KEYS, outcome=0)
+
+
 @query(
     "all_groups_metrics",
     f"""with {ORD}, c as (select dataset, subgroup, {COUNT_SQL} from ord group by dataset, subgroup)

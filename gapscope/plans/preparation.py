@@ -307,6 +307,14 @@ def _(spark, d):
     return read_table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", *features)
 
 
+@query("project_blinded_all", "select o_orderkey, o_totalprice from orders", "o_totalprice", 2)
+def _(spark, d):
+    """Every order, blinded to a column that the table has."""
+    spec = P.DesignSpec(["o_totalprice", "o_orderpriority"], [P.Categorical("o_orderpriority")])
+    features, _blocks, _spec = P.blinded(spec.features, {"all": spec.features}, spec, "o_orderpriority")
+    return read_table(spark, d, "orders").select("o_orderkey", *features)
+
+
 @query("drop_columns", "select n_nationkey, n_regionkey from nation")
 def _(spark, d):
     return read_table(spark, d, "nation").drop("n_name", "n_comment")

@@ -374,11 +374,11 @@ def _(spark, d):
     where exists (select 1 from orders)""",
 )
 def _(spark, d):
-    """Columns of one table version that the other lacks."""
+    """Columns holding values in one table version that the other lacks."""
     from ..sources.tables import read_table
 
     orders = read_table(spark, d, "orders")
-    old, new = C.schema_rows(orders, "run"), C.schema_rows(orders.select("o_orderkey", "o_custkey"), "run")
+    old, new = C.filled_columns(orders, "run"), C.filled_columns(orders.select("o_orderkey", "o_custkey"), "run")
     only_old = old.exceptAll(new).select(F.lit("baseline").alias("side"), "column")
     only_new = new.exceptAll(old).select(F.lit("candidate").alias("side"), "column")
     return only_old.unionByName(only_new)
