@@ -5,7 +5,7 @@ characters assigned to a secret's name, or a run of 16 or more key characters wi
 a run ``name=value`` only the value counts. Each is described by its length, its character classes and the changes between them, how much of it dictionary words cover
 (the most frequent words of all texts), its path (slashes, separators, and the document's source)
 and its neighbouring words. A random forest fitted on labelled findings, at most ``SAMPLE`` of them
-chosen by hash, decides which candidates are secrets. Published key formats are
+chosen by hash within each label, decides which candidates are secrets. Published key formats are
 secrets whatever the forest says, unless a reviewed label denies it.
 
 Without a table of reviewed findings, ``distant_labels`` labels the clear cases: provider formats
@@ -143,6 +143,21 @@ def distant_labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(secret, 1.0).when(other, 0.0))
 
 
+def drawn(rows: DataFrame, n: int, ones: int, sample: int) -> DataFrame:
+    """At most ``sample`` labelled rows, the first of each label by hash: half each, or what there is."""
+    spread = 1 << 30
+    draw = F.pmod(F.xxhash64("_row", "place", "value"), F.lit(spread))
+    quota = {1.0: min(ones, max(sample // 2, sample - (n - ones)))}
+    quota[0.0] = min(n - ones, sample - quota[1.0])
+    parts = []
+    for label, most in quota.items():
+        # Rows beyond this hash cannot be among the first, but for odds below 1e-15.
+        cut = min(1.0, (most + 10 * most**0.5 + 40) / (ones if label else n - ones))
+        part = rows.where((F.col("label") == label) & (draw < F.lit(int(spread * cut))))
+        parts.append(part.orderBy(draw, "_row", "place", "value").limit(most))
+    return parts[0].unionByName(parts[1])
+
+
 def judged(rows: DataFrame, features: list[str], sample: int = SAMPLE) -> DataFrame:
     """``rows`` (with ``label``) plus probability and is_secret."""
     # A published format stands unless a reviewed label denies it.
@@ -152,9 +167,9 @@ def judged(rows: DataFrame, features: list[str], sample: int = SAMPLE) -> DataFr
     n, ones = counts["n"] or 0, int(counts["ones"] or 0)
     if not n or not 0 < ones < n:
         return by_label
-    spread = 1 << 30
-    draw = F.pmod(F.xxhash64("_row", "place", "value"), F.lit(spread))
-    chosen = written(rows.where("label is not null").where(draw < F.lit(int(spread * min(1.0, sample / n)))).limit(sample), "findings")
+    chosen = written(drawn(rows, n, ones, sample), "findings")
+    if chosen.select("label").distinct().count() < 2:
+        return by_label
     assemble = VectorAssembler(inputCols=features, outputCol="_features")
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=3, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c"
