@@ -63,12 +63,23 @@ def dense_index(df: DataFrame, row_id: str, seed: int, name: str = "_i") -> Data
     return ranked.select(*df.columns, (F.col("cum__one") - 1).alias(name))
 
 
+def _solved(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """The Newton move, or NaN where there is none."""
+    try:
+        return np.linalg.solve(matrix, vector)
+    except np.linalg.LinAlgError:
+        return np.full_like(vector, np.nan)
+
+
 def outcome_permutation(
     train: DataFrame, test: DataFrame, features: list[str], group: str, a, b,
     n_perm: int = 200, seed: int = 42, threshold: float = 0.5, y: str = "y_true",
     row_id: str = "row_id", steps: int = 25,
 ) -> DataFrame:
-    """Null distribution of AUROC and five gaps when training outcomes are shuffled."""
+    """Null distribution of AUROC and five gaps when training outcomes are shuffled.
+
+    Replicates whose fit has not converged after ``steps`` are counted, and their values are null.
+    """
     spark = train.sparkSession
     rows = dense_index(train.select(row_id, y, *features), row_id, seed).select(
         "_i", *[F.col(c).cast("double").alias(c) for c in features]
@@ -83,7 +94,7 @@ def outcome_permutation(
     ridge = np.r_[0.0, 1.0 / scale[1:] ** 2]
     grad_size, hess = n_perm * p, n_perm * p * p
     schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("value", T.DoubleType())])
-    beta = np.zeros((p, n_perm))
+    beta, converged = np.zeros((p, n_perm)), np.zeros(n_perm, dtype=bool)
     for _ in range(steps):
         current = beta.copy()
 
@@ -114,12 +125,14 @@ def outcome_permutation(
         g = got[:grad_size].reshape(p, n_perm) - ridge[:, None] * beta
         h = got[grad_size:].reshape(p, p, n_perm)
         move = np.column_stack(
-            [np.linalg.solve(h[:, :, r] + np.diag(ridge), g[:, r]) for r in range(n_perm)]
+            [_solved(h[:, :, r] + np.diag(ridge), g[:, r]) for r in range(n_perm)]
         )
         beta = beta + move
-        if np.abs(move).max() < 1e-8:
+        converged = np.abs(move).max(axis=0) < 1e-8
+        if converged.all():
             break
-    coef = beta / scale[:, None]
+    kept = np.flatnonzero(converged).astype(np.int32)
+    coef = (beta / scale[:, None])[:, kept]
     out_schema = T.StructType(
         [
             test.schema[group], T.StructField("y", T.IntegerType()),
@@ -133,9 +146,9 @@ def outcome_permutation(
             prob = 1.0 / (1.0 + np.exp(-np.clip(x @ coef, -700, 700)))
             yield pd.DataFrame(
                 {
-                    group: np.repeat(pdf[group].to_numpy(), n_perm),
-                    "y": np.repeat(pdf[y].to_numpy(dtype=np.int32), n_perm),
-                    "replicate": np.tile(np.arange(n_perm, dtype=np.int32), len(pdf)),
+                    group: np.repeat(pdf[group].to_numpy(), len(kept)),
+                    "y": np.repeat(pdf[y].to_numpy(dtype=np.int32), len(kept)),
+                    "replicate": np.tile(kept, len(pdf)),
                     "prob": prob.ravel(),
                 }
             )
@@ -148,5 +161,9 @@ def outcome_permutation(
     pairs = G.with_side_rates(G.pair_counts(scored, ["replicate"], group, a, b, "y", pred), PERMUTED)
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), G.gap(m).alias("value")) for m in PERMUTED]))
     gaps = pairs.select("replicate", cells.alias("_c")).select("replicate", "_c.*")
-    null = area.unionByName(gaps).withColumn("observed_gap", F.lit(None).cast("double"))
-    return null_distribution(null, ["metric"], n_perm)
+    missing = spark.createDataFrame(
+        [(int(r), m, None) for r in np.flatnonzero(~converged) for m in ("auroc", *PERMUTED)],
+        "replicate int, metric string, value double",
+    )
+    null = area.unionByName(gaps).unionByName(missing).withColumn("observed_gap", F.lit(None).cast("double"))
+    return null_distribution(null, ["metric"], n_perm).withColumn("n_unconverged", F.lit(n_perm - len(kept)))

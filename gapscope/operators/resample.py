@@ -11,6 +11,7 @@ Replicate 0 is always the observed data.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -340,7 +341,62 @@ def calibration_curve_ci(
 # --- permutation of group labels -----------------------------------------------------
 
 PERMUTED = ("sensitivity", "fnr", "ppv", "npv", "predicted_positive_rate")
-URN_LIMIT = 10**9
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _gamma_step(a: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log(Gamma(a + d) / Gamma(a)) - d log(a), without cancellation where ``a`` is large."""
+    b = a + d
+    out = (b - 0.5) * np.log1p(d / a) - d
+    for z, sign in ((b, 1.0), (a, -1.0)):
+        out += sign * (1.0 / z - (1.0 / 30.0 - 2.0 / (7.0 * 15.0 * z * z)) / z**3) / 12.0
+    few = np.minimum(a, b) < 64
+    if few.any():
+        out[few] = _lgamma(b[few]) - _lgamma(a[few]) - d[few] * np.log(a[few])
+    return out
+
+
+def urn_shape(good: int, bad: int, n: np.ndarray) -> tuple:
+    """Least, largest and most likely number of good rows, centre and width of the sampler's box."""
+    total = float(good + bad)
+    low, high = np.maximum(0, n - bad), np.minimum(n, good)
+    mode = np.clip(np.floor((n + 1.0) * ((good + 1.0) / (total + 2.0))).astype(np.int64), low, high)
+    centre = n * (good / total) + 0.5
+    variance = n * (good / total) * (bad / total) * ((total - n) / max(total - 1.0, 1.0))
+    return low, high, mode, centre, 1.1 * (2.0 * (2.0 / math.e) ** 0.5 * np.sqrt(variance + 0.5) + 3.0 - 2.0 * (3.0 / math.e) ** 0.5)
+
+
+def urn_log_ratio(good: int, bad: int, n: np.ndarray, mode: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Log of the probability of ``x`` good rows over that of ``mode``."""
+    d = (x - mode).astype(float)
+    up = [(mode + 1).astype(float), (bad - n + mode + 1).astype(float)]
+    down = [(n - mode + 1).astype(float), (good - mode + 1).astype(float)]
+    tilt = d * np.log((down[0] / up[0]) * (down[1] / up[1]))
+    return tilt - sum(_gamma_step(a, d) for a in up) - sum(_gamma_step(a, -d) for a in down)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: np.ndarray) -> np.ndarray:
+    """For each ``n``, how many of n rows drawn without replacement are good; exact at any size.
+
+    Ratio of uniforms in Stadlober's box: tries and memory do not grow with the counts.
+    """
+    n = np.asarray(n, dtype=np.int64)
+    if not good or not bad:
+        return n.copy() if good else np.zeros_like(n)
+    low, high, mode, centre, width = urn_shape(good, bad, n)
+    out = mode.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        u, v = 1.0 - rng.random(len(open_)), rng.random(len(open_))
+        x = np.floor(centre[open_] + width[open_] * (v - 0.5) / u)
+        inside = (x >= low[open_]) & (x <= high[open_])
+        x = np.where(inside, x, mode[open_]).astype(np.int64)
+        taken = inside & (2.0 * np.log(u) <= urn_log_ratio(good, bad, n[open_], mode[open_], x))
+        out[open_[taken]] = x[taken]
+        open_ = open_[~taken]
+    return out
 
 
 def permutation_group(
@@ -350,9 +406,8 @@ def permutation_group(
     """Null distribution of five gaps when group labels are shuffled.
 
     A shuffle deals the four kinds of rows (outcome, prediction) to A without
-    replacement, so it is a multivariate hypergeometric draw from four counts.
-    Beyond 10^9 rows, where the sampler stops, its normal limit is used, whose
-    relative error is far below the Monte Carlo error.
+    replacement, so it is a multivariate hypergeometric draw from four counts:
+    one cell after the other, each given what the former took.
     """
     pairs = G.pair_counts(df, keys, group, a, b, y, pred)
     schema = T.StructType(
@@ -361,14 +416,13 @@ def permutation_group(
     )
 
     def deal(rng: np.random.Generator, total: np.ndarray, n_a: int) -> np.ndarray:
-        if total.sum() < URN_LIMIT:
-            return rng.multivariate_hypergeometric(total, n_a, size=n_perm, method="marginals")
-        share, n = total / total.sum(), total.sum()
-        scale = n_a * (n - n_a) / (n - 1)
-        cov = scale * (np.diag(share) - np.outer(share, share))
-        drawn = np.rint(rng.multivariate_normal(n_a * share, cov, size=n_perm)).astype(np.int64)
-        drawn = np.clip(drawn, 0, total)
-        drawn[:, 3] += n_a - drawn.sum(axis=1)
+        drawn = np.zeros((n_perm, len(total)), dtype=np.int64)
+        rest = np.full(n_perm, n_a, dtype=np.int64)
+        for c in range(len(total) - 1):
+            beyond = int(total[c + 1 :].sum())
+            drawn[:, c] = hypergeometric(rng, int(total[c]), beyond, rest)
+            rest = rest - drawn[:, c]
+        drawn[:, -1] = rest
         return drawn
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

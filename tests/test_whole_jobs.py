@@ -1,5 +1,9 @@
 """Queries run at the study's sizes and over whole tables."""
 
+import math
+from fractions import Fraction
+
+import numpy as np
 import pytest
 
 from gapscope.operators import compare as C
@@ -48,3 +52,43 @@ def test_columns_come_from_the_rows(spark):
 @pytest.mark.parametrize("name", ["score_distribution_negatives", "project_blinded_all"])
 def test_whole_tables_are_registered(name):
     assert name in QUERIES and name in SQL
+
+
+@pytest.mark.parametrize("good, bad", [(1, 1), (3, 9), (40, 7), (1, 5000), (300, 200), (5, 10**12)])
+def test_the_urn_sampler_is_exact(good, bad):
+    """Its box holds every value's region, and its probabilities are the binomial coefficients'."""
+    for n in {1, 2, min(good + bad, 17), (good + bad) // 2, good + bad - 1}:
+        ns = np.array([n])
+        low, high, mode, centre, width = (v[0] for v in RS.urn_shape(good, bad, ns))
+        x = np.arange(low, high + 1)
+        ones = np.ones_like(x)
+        got = RS.urn_log_ratio(good, bad, n * ones, mode * ones, x)
+        if good + bad < 10**4:
+            choose = lambda k: math.comb(good, k) * math.comb(bad, n - k)
+            want = [float(Fraction(choose(int(k)), choose(int(mode)))) for k in x]
+            np.testing.assert_allclose(np.exp(got), want, rtol=1e-8, atol=1e-250)
+        reach = np.maximum(np.abs(x - centre), np.abs(x + 1 - centre)) * np.exp(got / 2)
+        assert (reach <= width / 2).all(), (n, (reach / width).max())
+
+
+def test_the_urn_is_dealt_at_any_size():
+    rng = np.random.default_rng(3)
+    small = RS.hypergeometric(rng, 30, 50, np.full(40_000, 20))
+    assert abs(small.mean() - 7.5) < 0.05 and abs(small.var() - 20 * 30 / 80 * 50 / 80 * 60 / 79) < 0.1
+    rare = RS.hypergeometric(rng, 3, 3 * 10**9, np.full(40_000, 10**9))
+    assert abs((rare == 0).mean() - (2 / 3) ** 3) < 0.02 and rare.max() == 3
+    half = 10**12
+    large = RS.hypergeometric(rng, half, half, np.full(40_000, half))
+    assert abs(large.mean() - half / 2) < 1e4 and abs(large.std() / (half / 8) ** 0.5 - 1) < 0.02
+    assert not hasattr(RS, "URN_LIMIT")
+
+
+def test_unconverged_permutations_are_null(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "AB"[i % 2], int(rng.random() < 0.4), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, g string, y_true int, x double")
+    cut = PM.outcome_permutation(df, df, ["x"], "g", "A", "B", n_perm=10, steps=1).collect()
+    assert len(cut) == 6 and all(r["null_mean"] is None and r["n_unconverged"] == 10 for r in cut)
+    whole = PM.outcome_permutation(df, df, ["x"], "g", "A", "B", n_perm=10).collect()
+    assert len(whole) == 6 and all(r["n_unconverged"] == 0 for r in whole)
+    assert all(r["null_mean"] is not None for r in whole if r["metric"] == "auroc")
