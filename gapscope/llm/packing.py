@@ -3,9 +3,11 @@
 Every document becomes its token ids and an end id; one longer than a sequence is cut so that only
 its first piece is shorter. Pieces are dealt to leaves by a hash of their row number. A leaf packs
 its pieces by best fit in decreasing order and emits the bins that are nearly full; the pieces of
-underfull bins move up, where ``FAN`` leaves merge into one, and are packed again. The root emits
-everything. A level writes its bins, so a lost executor repeats one level's tasks only, and a task
-never holds more than about ``LEAF`` pieces.
+underfull bins move up, where at most ``FAN`` leaves merge into one, and are packed again. A level
+has as many nodes as its pieces need, so a task never holds more than about ``LEAF`` of them. The
+last level emits everything: one node, or where pieces fill no bins together, the level that leaves
+over nine tenths of its nodes. A level writes its bins, so a lost executor repeats one level's tasks
+only.
 
 Null text is the empty text: one piece with only the end id. Rows are packed one by one, so repeated
 rows (and rows without doc_id) are packed as often as they occur. No rows give no rows. Other
@@ -130,11 +132,13 @@ def pack(items: DataFrame, size: int = LENGTH, leaf: int = LEAF, fan: int = FAN,
         packed = written(
             left.select(*columns, "_item").withColumn("_node", node).groupBy("_node").applyInArrow(fill, schema), "bins"
         )
-        done.append(packed.where("_done"))
-        if last:
-            break
         left = packed.where("not _done")
-        nodes, level = -(-nodes // fan), level + 1
+        fewer = 1 if last else max(-(-nodes // fan), -(-left.count() // leaf))
+        if last or 10 * fewer > 9 * nodes:  # more levels would pack the same pieces alike
+            done.append(packed)
+            break
+        done.append(packed.where("_done"))
+        nodes, level = fewer, level + 1
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)

@@ -59,3 +59,18 @@ def test_empty_table(spark):
 
 def test_best_fit_takes_the_tightest_bin():
     assert list(packing.best_fit(np.array([600, 500, 400, 500, 24]), 1024)) == [0, 1, 0, 1, 0]
+
+
+@pytest.mark.parametrize("low, high, share", [(513, 1003, 1.0), (1, 1024, 1.03)])
+def test_no_node_exceeds_its_leaf(spark, monkeypatch, low, high, share):
+    lengths = [int(n) for n in np.random.default_rng(7).integers(low, high + 1, 4000)]
+    asked = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long").repartition(8)
+    got = packing.pack(asked, leaf=200, fan=3).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths)
+    bins, nodes = {}, {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        nodes[r["sequence_id"] >> 24] = nodes.get(r["sequence_id"] >> 24, 0) + 1
+    assert all(a + n == b for parts in bins.values() for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:]))
+    assert max(nodes.values()) <= 300
+    assert len(bins) <= share * (len(lengths) if low > 512 else -(-sum(lengths) // 1024)) + 12
