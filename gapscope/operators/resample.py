@@ -33,6 +33,7 @@ from ..functions.columns import (
 from ..session import ensure_checkpoint_dir, null_safe_join, sized_broadcast
 from . import gaps as G
 from .intervals import percentile_interval
+from .ranking import prefix_sums
 
 SIDES = tuple(f"{c}_{s}" for s in "ab" for c in COUNTS)
 BUCKET_MEMBERS = 2048
@@ -487,13 +488,22 @@ def _cells(
 
 
 def _score_buckets(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Score ranges on the log-odds scale holding a bounded number of distinct cells."""
+    """Score ranges of at most ``BUCKET_MEMBERS`` distinct cells, cut where their count says so."""
+    eps = 1e-12
+    p = F.least(F.greatest(F.col("_prob"), F.lit(eps)), F.lit(1.0 - eps))
     sizes = cells.groupBy(*keys).agg(F.approx_count_distinct(F.struct(*CELL)).alias("c"))
     largest = sizes.agg(F.max("c")).first()[0] or 1
     per_unit = min(65536, max(1, int(largest) // (4 * BUCKET_MEMBERS)))
-    eps = 1e-12
-    p = F.least(F.greatest(F.col("_prob"), F.lit(eps)), F.lit(1.0 - eps))
-    return cells.withColumn("_b", F.floor(F.ln(p / (1.0 - p)) * float(per_unit)).cast("int"))
+    scores = (
+        cells.select(*keys, *CELL).distinct().groupBy(*keys, "_prob").agg(F.count("*").alias("_c"))
+        .withColumn("_b", F.floor(F.ln(p / (1.0 - p)) * float(per_unit)).cast("int"))
+    )
+    # A score has eight cells at most; they stay together.
+    width = BUCKET_MEMBERS - 7
+    placed = prefix_sums(scores, keys, "_b", "_prob", ["_c"], descending=False).select(
+        *keys, "_prob", F.floor((F.col("cum__c") - F.col("_c")) / width).cast("int").alias("_b")
+    )
+    return null_safe_join(cells, sized_broadcast(placed), [*keys, "_prob"])
 
 
 def _pack_schema(df: DataFrame, keys: list[str]) -> T.StructType:

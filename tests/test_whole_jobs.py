@@ -92,3 +92,15 @@ def test_unconverged_permutations_are_null(spark):
     whole = PM.outcome_permutation(df, df, ["x"], "g", "A", "B", n_perm=10).collect()
     assert len(whole) == 6 and all(r["n_unconverged"] == 0 for r in whole)
     assert all(r["null_mean"] is not None for r in whole if r["metric"] == "auroc")
+
+
+def test_a_narrow_band_of_scores_is_cut_into_buckets(spark):
+    rows = spark.range(40_000).selectExpr(
+        "'k' as k", "cast(id % 2 as tinyint) as _side", "0.5 + floor(id / 4) * 1e-9 as _prob",
+        "cast(1 as tinyint) as _pred", "cast(floor(id / 2) % 2 as tinyint) as _y", "1L as _n",
+    )
+    got = RS._score_buckets(rows, ["k"])
+    assert sorted(got.columns) == sorted([*rows.columns, "_b"]) and got.count() == 40_000
+    spans = got.groupBy("_b").agg({"_n": "sum", "_prob": "max"}).orderBy("_b").collect()
+    assert max(r["sum(_n)"] for r in spans) <= RS.BUCKET_MEMBERS and len(spans) == 20
+    assert all(x["max(_prob)"] < y["max(_prob)"] for x, y in zip(spans, spans[1:]))
