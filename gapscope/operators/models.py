@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from ..functions.columns import clipped_logit, hash_uniform
 from ..session import ensure_checkpoint_dir
 from . import gaps as G
+from . import irls, isotonic
 from . import metrics as M
+from .pool import FAMILIES, LINEAR, PoolSettings, calibrated_scores, fit_pool
 from .prep import (
     DesignSpec,
     design_columns,
@@ -38,15 +40,8 @@ from .prep import (
     level_lists,
     training_folds,
 )
-from .regress import NUMERICAL, fit_logistic, moments, with_zscores
 from .thresholds import equal_sensitivity_threshold
 
-# The candidate families in declaration order.
-FAMILIES = (
-    "logistic_regression", "l1_logistic_regression", "random_forest", "shallow_tree",
-    "boosted_trees", "calibrated_ensemble",
-)
-LINEAR = ("logistic_regression", "l1_logistic_regression")
 ENSEMBLE_MEMBERS = ("logistic_regression", "random_forest", "boosted_trees")
 
 
@@ -54,20 +49,6 @@ class SelectionError(RuntimeError):
     """No family can be selected."""
 
 
-@dataclass(frozen=True)
-class PoolSettings:
-    """Sizes of the tree families (the defaults are the study's).
-
-    The study's forest has no depth limit; 30 is the deepest that Spark grows.
-    """
-
-    forest_trees: int = 300
-    forest_depth: int = 30
-    boosted_rounds: int = 300
-    seed: int = 42
-    parallelism: int = 4
-
-
 @dataclass(frozen=True)
 class Fitted:
     """One or more pipelines whose mean probability is the score."""
@@ -253,32 +234,15 @@ def cross_validated_scores(
     y: str = "y_true", fold: str = "fold", row_id: str = "row_id",
     settings: PoolSettings = PoolSettings(),
 ) -> DataFrame:
-    """Out-of-fold scores of every family; the voting family averages its members' fits."""
-    rows = _compact(train)
-    single = [f for f in families if f != "calibrated_ensemble"]
-    needed = list(dict.fromkeys([*single, *(ENSEMBLE_MEMBERS if "calibrated_ensemble" in families else ())]))
-
-    states = fold_states(rows, spec, folds, fold)
-
-    def job(family: str, k: int):
-        def run() -> DataFrame:
-            part = rows.where(F.col(fold) != k)
-            fitted = fit_family(part, spec, family, y, settings, None, states[k])
-            return fitted.score(rows.where(F.col(fold) == k)).select(
-                F.lit(family).alias("family"), fold, row_id, y, "prob"
-            )
-        return run
+    """Out-of-fold scores of every family, one row per (row, family); all folds are fitted together.
 
-    parts = in_parallel([job(f, k) for f in needed for k in range(folds)], settings.parallelism)
-    scores = _settled(reduce(DataFrame.unionByName, parts))
-    if "calibrated_ensemble" in families:
-        vote = (
-            scores.where(F.col("family").isin(list(ENSEMBLE_MEMBERS)))
-            .groupBy(fold, row_id, y).agg(F.avg("prob").alias("prob"))
-            .withColumn("family", F.lit("calibrated_ensemble"))
-        )
-        scores = scores.unionByName(vote)
-    return scores.where(F.col("family").isin(list(families)))
+    A family one of whose folds has no fit has NULL scores.
+    """
+    pool = fit_pool(train, spec, families, y, fold, folds, settings)
+    scores = pool.held_out(train, [fold, row_id, y], fold).drop("model")
+    for f in pool.failed:
+        scores = scores.unionByName(train.select(fold, row_id, y, F.lit(f).alias("family"), F.lit(None).cast("double").alias("prob")))
+    return _settled(scores)
 
 
 def cv_auroc(scores: DataFrame, y: str = "y_true", fold: str = "fold") -> DataFrame:
@@ -384,39 +348,36 @@ def isotonic_fold_ensemble(
 STRATEGIES = ("uncalibrated", "pooled_isotonic", "pooled_platt", "group_isotonic", "group_platt")
 
 
-def _isotonic_scores(train: DataFrame, test: DataFrame, y: str, prob: str) -> DataFrame:
-    model = fit_isotonic(train.withColumn("_s", F.col(prob)), "_s", y)
-    return model.transform(test.withColumn("_s", F.col(prob))).withColumnRenamed("_iso", "recalibrated").drop("_s")
-
-
-def _platt_scores(train: DataFrame, test: DataFrame, y: str, prob: str) -> DataFrame:
-    fit = fit_logistic(train.withColumn("_logit", clipped_logit(prob)), ["_logit"], y)
-    return test.withColumn("_logit", clipped_logit(prob)).withColumn(
-        "recalibrated", fit.probability()
-    ).drop("_logit")
-
-
 def recalibrate(
     train: DataFrame, test: DataFrame, group: str, a, b, y: str = "y_true", prob: str = "prob"
 ) -> DataFrame:
     """Test rows under five recalibration strategies (column ``strategy``).
 
-    A group absent from training gets NULL from the group-wise strategies.
+    The pooled rows and each group are units of one isotonic job and of one set of Platt fits. A
+    group absent from training gets NULL from the group-wise strategies.
     """
-    train = train.persist()
-    label = lambda df, s: df.withColumn("strategy", F.lit(s))
-    out = [
-        label(test.withColumn("recalibrated", F.col(prob)), "uncalibrated"),
-        label(_isotonic_scores(train, test, y, prob), "pooled_isotonic"),
-        label(_platt_scores(train, test, y, prob), "pooled_platt"),
+    pooled = F.struct(F.lit(True).alias("pooled"), F.lit(None).cast(train.schema[group].dataType).alias("member"))
+    own = F.struct(F.lit(False).alias("pooled"), F.col(group).alias("member"))
+
+    def units(df: DataFrame) -> DataFrame:
+        both = F.when(F.col(group).isin([a, b]), F.array(pooled, own)).otherwise(F.array(pooled))
+        return df.withColumn("_u", F.explode(both)).select(
+            *df.columns, F.col("_u.pooled").alias("_pooled"), F.col("_u.member").alias("_member"), clipped_logit(prob).alias("_logit")
+        )
+
+    keys = ["_pooled", "_member"]
+    known = units(train).persist()
+    blocks = isotonic.fit(known, keys, prob, y)
+    platt = irls.fit_all(known, keys, [irls.Model("platt", ("_logit",), y, ridge=1.0)])
+    known.unpersist()
+    scored = platt.scored(isotonic.mapped(units(test), keys, prob, blocks, "_isotonic"), "platt", "_platt")
+    names = {True: ("pooled_isotonic", "pooled_platt"), False: ("group_isotonic", "group_platt")}
+    cells = lambda p: [
+        F.struct(F.lit(n).alias("strategy"), F.col(c).alias("recalibrated")) for n, c in zip(names[p], ("_isotonic", "_platt"))
     ]
-    for g in (a, b):
-        tr, te = train.where(F.col(group) == F.lit(g)), test.where(F.col(group) == F.lit(g))
-        known = tr.limit(1).count() > 0
-        for s, fit in (("group_isotonic", _isotonic_scores), ("group_platt", _platt_scores)):
-            scored = fit(tr, te, y, prob) if known else te.withColumn("recalibrated", F.lit(None).cast("double"))
-            out.append(label(scored, s))
-    return reduce(lambda x, z: x.unionByName(z), out)
+    first = F.struct(F.lit("uncalibrated").alias("strategy"), F.col(prob).cast("double").alias("recalibrated"))
+    long = scored.withColumn("_c", F.explode(F.when(F.col("_pooled"), F.array(first, *cells(True))).otherwise(F.array(*cells(False)))))
+    return long.select(*test.columns, F.col("_c.recalibrated").alias("recalibrated"), F.col("_c.strategy").alias("strategy"))
 
 
 def recalibration_table(
@@ -472,43 +433,40 @@ def verify_scoring(
 
 def null_models(
     train: DataFrame, test: DataFrame, group: str, a, b, single: str, block: list[str],
-    y: str = "y_true", row_id: str = "row_id", seed: int = 42, threshold: float = 0.5,
+    y: str = "y_true", row_id: str = "row_id", seed: int = 42, threshold: float = 0.5, keys: list[str] = [],
 ) -> DataFrame:
-    """Gap rows of trivial baselines: constant, one feature, random, a small block."""
-    base = train.agg(F.avg(F.col(y).cast("double"))).first()[0]
-    one = fit_logistic(train, [single], y)
-    small = fit_logistic(train, block, y)
-    scores = {
-        "intercept_only": F.lit(base), "single_feature": one.probability(),
-        "random_score": hash_uniform([row_id], seed), "simple_baseline": small.probability(),
-    }
+    """Gap rows of trivial baselines: constant, one feature, random, a small block.
+
+    A comparison that is absent from training has no scores but random ones.
+    """
+    models = [
+        irls.Model("intercept_only", (), y), irls.Model("single_feature", (single,), y, ridge=1.0),
+        irls.Model("simple_baseline", tuple(block), y, ridge=1.0),
+    ]
+    fits = irls.fit_all(train, keys, models)
+    scored = test
+    for m in models:
+        scored = fits.scored(scored, m.name, f"_p_{m.name}")
+    scores = {m.name: F.col(f"_p_{m.name}") for m in models}
+    scores["random_score"] = hash_uniform([row_id], seed)
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), s.alias("prob")) for n, s in scores.items()]))
-    long = test.select(group, y, cells.alias("_c")).select(group, y, "_c.*").withColumn(
+    long = scored.select(*keys, group, y, cells.alias("_c")).select(*keys, group, y, "_c.*").where("prob is not null").withColumn(
         "pred", (F.col("prob") >= threshold).cast("int")
     )
-    return G.gap_row(long, ["model"], group, a, b, y, "prob", "pred")
+    return G.gap_row(long, [*keys, "model"], group, a, b, y, "prob", "pred")
 
 
 def family_robustness(
     train: DataFrame, test: DataFrame, spec: DesignSpec, group: str, a, b,
     families: tuple[str, ...] = FAMILIES, folds: int = 5, y: str = "y_true",
-    threshold: float = 0.5, settings: PoolSettings = PoolSettings(),
+    threshold: float = 0.5, settings: PoolSettings = PoolSettings(), row_id: str = "row_id",
 ) -> DataFrame:
     """Gap row of every family after isotonic fold calibration; a failure is an error row."""
-    scored, failed = [], []
-    train = _compact(train)
-    states = fold_states(train, spec, folds)
-    for f in families:
-        try:
-            ensemble = isotonic_fold_ensemble(train, spec, f, folds, y, "fold", settings, states)
-            scored.append(ensemble.score(test, "prob").select(group, y, "prob").withColumn("family", F.lit(f)))
-        except NUMERICAL as problem:
-            failed.append((f, f"{type(problem).__name__}: {problem}"[:500]))
-    spark = test.sparkSession
-    errors = spark.createDataFrame(failed, "family string, error string")
-    if not scored:
+    pool = fit_pool(train, spec, families, y, "fold", folds, settings)
+    errors = test.sparkSession.createDataFrame(list(pool.failed.items()), "family string, error string")
+    if len(pool.failed) == len(families):
         return errors
-    rows = _settled(reduce(DataFrame.unionByName, scored)).withColumn(
+    rows = _settled(calibrated_scores(train, test, pool, [group, y], row_id, y)).withColumn(
         "pred", (F.col("prob") >= threshold).cast("int")
     )
     table = G.gap_row(rows, ["family"], group, a, b, y, "prob", "pred")
@@ -531,31 +489,23 @@ def attribute_inclusion(
     flag = (F.col(group) == F.lit(a)).cast("double")
     tr = train.where(*keep).withColumn("in_a", flag).persist()
     te = test.where(*keep).withColumn("in_a", flag)
-    names = [f"z_{c}" for c in features]
-    stats = moments(tr, features)
-    ztr, zte = with_zscores(tr, features, stats), with_zscores(te, features, stats)
-    blind = fit_logistic(ztr, names, y)
-    sexed_stats = moments(tr, [*features, "in_a"])
-    aware = fit_logistic(with_zscores(tr, [*features, "in_a"], sexed_stats), [*names, "z_in_a"], y)
-    base_tr, base_te = ztr.withColumn("prob", blind.probability()), zte.withColumn("prob", blind.probability())
+    z = tuple(features)
+    fits = irls.fit_all(tr, [], [
+        irls.Model("blind", z, y, ridge=1.0, standardise=z),
+        irls.Model("aware", (*z, "in_a"), y, ridge=1.0, standardise=(*z, "in_a")),
+        irls.Model("a", z, y, where=F.col("in_a") == 1, ridge=1.0, standardise=z),
+        irls.Model("b", z, y, where=F.col("in_a") == 0, ridge=1.0, standardise=z),
+    ])
     keepcols = [group, y, "prob"]
+    base_tr, base_te = fits.scored(tr, "blind", "prob"), fits.scored(te, "blind", "prob")
+    both = fits.scored(fits.scored(te, "a", "_a"), "b", "_b")
+    blocks = isotonic.fit(base_tr, [group], "prob", y)
     out = {
         "excludes_group": base_te.select(*keepcols),
-        "includes_group": with_zscores(te, [*features, "in_a"], sexed_stats)
-        .withColumn("prob", aware.probability()).select(*keepcols),
+        "includes_group": fits.scored(te, "aware", "prob").select(*keepcols),
+        "group_calibration": isotonic.mapped(base_te.select(*keepcols), [group], "prob", blocks, "_c").select(group, y, F.col("_c").alias("prob")),
+        "separate_models": both.withColumn("prob", F.when(F.col("in_a") == 1, F.col("_a")).otherwise(F.col("_b"))).select(*keepcols),
     }
-    pieces, own = [], []
-    for g in (a, b):
-        here = F.col(group) == F.lit(g)
-        iso = _isotonic_scores(base_tr.where(here), base_te.where(here), y, "prob")
-        pieces.append(iso.select(group, y, F.col("recalibrated").alias("prob")))
-        gs = moments(tr.where(here), features)
-        fit = fit_logistic(with_zscores(tr.where(here), features, gs), names, y)
-        own.append(
-            with_zscores(te.where(here), features, gs).withColumn("prob", fit.probability()).select(*keepcols)
-        )
-    out["group_calibration"] = reduce(DataFrame.unionByName, pieces)
-    out["separate_models"] = reduce(DataFrame.unionByName, own)
     plain = reduce(
         DataFrame.unionByName,
         [df.withColumn("strategy", F.lit(s)) for s, df in out.items()],

@@ -1,7 +1,8 @@
-"""Regressions behind case-mix and error analyses, fitted with Spark ML.
+"""Regressions behind case-mix and error analyses.
 
-Each fit is a distributed job that returns a handful of coefficients; scoring
-uses plain column expressions of those coefficients.
+Every function takes ``keys``: the steps, moderators or outcomes of all comparisons are fitted
+together by :mod:`.irls`, one pass over the rows per Newton step for all of them. A fit without a
+finite maximum gives its status and NULL estimates, never a number.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from dataclasses import dataclass
 from pyspark.errors import ArithmeticException, IllegalArgumentException, UnsupportedOperationException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tails import Z975
+from ..session import null_safe_join
+from .irls import Model, fit_all
 
 SMALLEST_GROUP = 5
 SMALLEST_SAMPLE = 20
@@ -85,34 +86,6 @@ def fit_logistic(
     )
 
 
-@dataclass(frozen=True)
-class WaldTerm:
-    estimate: float
-    error: float
-    p: float
-
-    @property
-    def limits(self) -> tuple[float, float]:
-        return self.estimate - Z975 * self.error, self.estimate + Z975 * self.error
-
-
-def fit_glm(df: DataFrame, features: list[str], label: str) -> dict[str, WaldTerm]:
-    """Unpenalised logistic GLM with Wald inference for every term."""
-    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(
-        df.withColumn("_label", F.col(label).cast("double"))
-    )
-    glm = GeneralizedLinearRegression(
-        featuresCol="_x", labelCol="_label", family="binomial", link="logit", maxIter=100, tol=1e-10
-    )
-    model = glm.fit(assembled)
-    summary = model.summary
-    errors, ps = list(summary.coefficientStandardErrors), list(summary.pValues)
-    return {
-        f: WaldTerm(float(model.coefficients[i]), float(errors[i]), float(ps[i]))
-        for i, f in enumerate(features)
-    }
-
-
 def _finite(v):
     return None if v is None or not math.isfinite(v) else float(v)
 
@@ -141,188 +114,209 @@ def error_rows(
     return kept.withColumn("error", (F.col(pred) == (0 if kind == "fn" else 1)).cast("int"))
 
 
-WATERFALL_SCHEMA = T.StructType(
-    [
-        T.StructField("step_no", T.IntegerType()), T.StructField("step", T.StringType()),
-        T.StructField("n_features", T.IntegerType()),
-        T.StructField("group_coef_logodds", T.DoubleType()),
-        T.StructField("pct_of_raw_gap_explained", T.DoubleType()),
-    ]
-)
+def _schema(df: DataFrame, keys: list[str], fields: str) -> T.StructType:
+    return T.StructType([*[df.schema[k] for k in keys], *T.StructType.fromDDL(fields).fields])
+
+
+def _by_key(table: DataFrame, keys: list[str]) -> dict[tuple, object]:
+    """A grouped summary on the driver, one row per comparison."""
+    return {tuple(r[k] for k in keys): r for r in table.collect()}
 
 
 def steps_of(blocks: dict[str, list[str]], available: list[str], first: str):
     """(step, cumulative columns), starting with no covariates."""
     out, seen = [(first, [])], []
     for name, columns in blocks.items():
-        seen = seen + [c for c in columns if c in available]
+        seen = seen + [c for c in columns if c in available and c not in seen]
         out.append((name, list(seen)))
     return out
 
 
+def _explained(raw: float | None, value: float | None) -> float | None:
+    return 100.0 * (raw - value) / raw if raw and value is not None else None
+
+
+WATERFALL = (
+    "step_no int, step string, n_features int, group_coef_logodds double, pct_of_raw_gap_explained double, "
+    "status string"
+)
+
+
 def case_mix_waterfall(
-    df: DataFrame, group: str, a, b, blocks: dict[str, list[str]], y: str = "y_true"
+    df: DataFrame, group: str, a, b, blocks: dict[str, list[str]], y: str = "y_true", keys: list[str] = [],
 ) -> DataFrame:
     """Group coefficient on the outcome as covariate blocks accumulate (ridge, unscaled)."""
     rows = two_groups(df, group, a, b).persist()
-    out, raw = [], None
-    for i, (step, columns) in enumerate(steps_of(blocks, df.columns, "raw (group only)")):
-        coef = fit_logistic(rows, ["in_a", *columns], y).coefficients["in_a"]
-        raw = coef if raw is None else raw
-        explained = None if raw == 0 else 100.0 * (raw - coef) / raw
-        out.append((i, step, len(columns) + 1, coef, explained))
+    steps = steps_of(blocks, df.columns, "raw (group only)")
+    fits = fit_all(rows, keys, [Model(step, ("in_a", *cs), y, ridge=1.0) for step, cs in steps])
+    out = []
+    for key in fits.comparisons:
+        raw = fits.get(key, steps[0][0]).estimate("in_a")
+        for i, (step, cs) in enumerate(steps):
+            fit = fits.get(key, step)
+            coef = fit.estimate("in_a")
+            out.append((*key, i, step, len(cs) + 1, coef, _explained(raw, coef), fit.status))
     rows.unpersist()
-    return df.sparkSession.createDataFrame(out, WATERFALL_SCHEMA)
-
-
-ERROR_SCHEMA = T.StructType(
-    [
-        T.StructField("step_no", T.IntegerType()), T.StructField("step", T.StringType()),
-        T.StructField("n_obs", T.LongType()), T.StructField("n_error", T.LongType()),
-        T.StructField("error_rate_a", T.DoubleType()), T.StructField("error_rate_b", T.DoubleType()),
-        T.StructField("log_or", T.DoubleType()), T.StructField("odds_ratio", T.DoubleType()),
-        T.StructField("or_ci_low", T.DoubleType()), T.StructField("or_ci_high", T.DoubleType()),
-        T.StructField("p_value", T.DoubleType()), T.StructField("n_features", T.IntegerType()),
-        T.StructField("pct_of_raw_coef_explained", T.DoubleType()),
-    ]
+    return df.sparkSession.createDataFrame(out, _schema(df, keys, WATERFALL))
+
+
+ERRORS = (
+    "step_no int, step string, n_obs long, n_error long, error_rate_a double, error_rate_b double, log_or double, "
+    "odds_ratio double, or_ci_low double, or_ci_high double, p_value double, n_features int, "
+    "pct_of_raw_coef_explained double, status string"
 )
 
 
 def error_waterfall(
     df: DataFrame, group: str, a, b, blocks: dict[str, list[str]], kind: str,
-    y: str = "y_true", pred: str = "pred",
+    y: str = "y_true", pred: str = "pred", keys: list[str] = [],
 ) -> DataFrame:
-    """Odds ratio of an error for A against B as standardised blocks accumulate."""
-    columns = list(dict.fromkeys(c for cs in blocks.values() for c in cs if c in df.columns))
-    rows = with_zscores(error_rows(df, group, a, b, kind, y, pred), columns).persist()
+    """Odds ratio of an error for A against B as standardised blocks accumulate.
+
+    A step whose errors are split without exception (by the group or by a block) has the status
+    ``separation`` and no estimate.
+    """
+    rows = error_rows(df, group, a, b, kind, y, pred).persist()
     in_a = F.col("in_a") == 1
-    head = rows.agg(
+    heads = _by_key(rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum("error").alias("e"),
         F.avg(F.when(in_a, F.col("error"))).alias("ra"), F.avg(F.when(~in_a, F.col("error"))).alias("rb"),
-    ).first()
-    out, raw = [], None
-    for i, (step, cs) in enumerate(steps_of(blocks, df.columns, "raw (group only)")):
-        try:
-            term = fit_glm(rows, ["in_a", *[f"z_{c}" for c in cs]], "error")["in_a"]
-            coef, (low, high), p = _finite(term.estimate), term.limits, _finite(term.p)
-        except NUMERICAL:
-            coef = low = high = p = None
-        raw = coef if i == 0 else raw
-        explained = 100.0 * (raw - coef) / raw if raw and coef is not None else None
-        out.append(
-            (i, step, head["n"], head["e"], head["ra"], head["rb"], coef, _exp(coef), _exp(low),
-             _exp(high), p, len(cs) + 1, explained)
-        )
+    ), keys)
+    steps = steps_of(blocks, df.columns, "raw (group only)")
+    fits = fit_all(rows, keys, [Model(step, ("in_a", *cs), "error", standardise=tuple(cs)) for step, cs in steps])
+    out = []
+    for key, head in heads.items():
+        raw = fits.get(key, steps[0][0]).estimate("in_a") if (key, steps[0][0]) in fits.found else None
+        for i, (step, cs) in enumerate(steps):
+            fit = fits.found.get((key, step))
+            coef, low, high, p = fit.wald("in_a") if fit else (None,) * 4
+            out.append((
+                *key, i, step, head["n"], head["e"] or 0, head["ra"], head["rb"], coef, _exp(coef), _exp(low), _exp(high), p,
+                len(cs) + 1, _explained(raw, coef), fit.status if fit else "no_rows",
+            ))
     rows.unpersist()
-    return df.sparkSession.createDataFrame(out, ERROR_SCHEMA)
+    return df.sparkSession.createDataFrame(out, _schema(df, keys, ERRORS))
 
 
 INTERACTION_VALUES = (
     "interaction_log_or", "interaction_or", "interaction_or_ci_low", "interaction_or_ci_high",
     "interaction_p", "group_or", "moderator_or",
 )
-INTERACTION_SCHEMA = T.StructType(
-    [T.StructField("moderator", T.StringType()), T.StructField("status", T.StringType())]
-    + [T.StructField(v, T.DoubleType()) for v in INTERACTION_VALUES]
-    + [
-        T.StructField("n_obs", T.LongType()), T.StructField("n_error", T.LongType()),
-        T.StructField("note", T.StringType()),
-    ]
-)
+#: What a fit without estimates says in ``warning`` (an attempt that ran) or ``error`` (one that could not).
+FIT_WARNINGS = {
+    "separation": "the errors are split without exception", "not_converged": "optimizer did not converge",
+}
+FIT_ERRORS = {
+    "singular": "terms depend on each other", "one_class": "all rows or none are errors",
+    "nonfinite_predictor": "a predictor is not finite", "no_rows": "no complete row",
+}
 
 
 def interaction_test(
     df: DataFrame, group: str, a, b, moderators: list[str], kind: str = "fn",
-    adjusters: list[str] = [], y: str = "y_true", pred: str = "pred",
+    adjusters: list[str] = [], y: str = "y_true", pred: str = "pred", keys: list[str] = [],
 ) -> DataFrame:
-    """Does the group effect on errors vary with a moderator? One row per moderator.
+    """Does the group effect on errors vary with a moderator? One row per comparison and moderator.
 
-    Fits that fail or are not finite are kept as ``nonestimable`` rows.
+    Too few rows (under 20, or under 5 errors or rows of A), fits that fail, do not converge or are
+    not finite are kept as ``nonestimable`` rows with the reason in ``note``, ``warning``, ``error``.
     """
-    errors = error_rows(df, group, a, b, kind, y, pred).persist()
-    out = []
+    used = list(dict.fromkeys([*moderators, *adjusters]))
+    errors = error_rows(df, group, a, b, kind, y, pred)
+    known = {m: F.col(m).isNotNull() for m in moderators}
     for m in moderators:
-        rows = errors.where(F.col(m).isNotNull())
-        n, e, na = rows.agg(F.count("*"), F.sum("error"), F.sum("in_a")).first()
-        empty = [None] * len(INTERACTION_VALUES)
-        if n < SMALLEST_SAMPLE or (e or 0) < SMALLEST_GROUP or (na or 0) < SMALLEST_GROUP:
-            out.append((m, "nonestimable", *empty, n, e or 0, "insufficient sample size"))
-            continue
-        z = with_zscores(rows, list(dict.fromkeys([m, *adjusters]))).withColumn(
-            "product", F.col("in_a") * F.col(f"z_{m}")
+        errors = errors.withColumn(f"_z_{m}", F.col(m).cast("double"))
+    # z-scores of the moderator over its own rows, so that the product is formed on that scale
+    heads = errors.groupBy(*keys).agg(*[
+        x for m in moderators for x in (
+            F.count_if(known[m]).alias(f"n_{m}"), F.sum(F.when(known[m], F.col("error"))).alias(f"e_{m}"),
+            F.sum(F.when(known[m], F.col("in_a"))).alias(f"a_{m}"), F.avg(f"_z_{m}").alias(f"m_{m}"),
+            F.coalesce(F.expr(f"nullif(stddev_pop(`_z_{m}`), 0)"), F.lit(1.0)).alias(f"s_{m}"),
         )
-        try:
-            fit = fit_glm(z, ["in_a", f"z_{m}", "product", *[f"z_{c}" for c in adjusters]], "error")
-        except NUMERICAL as failure:
-            out.append((m, "nonestimable", *empty, n, e, f"fit failed: {type(failure).__name__}"))
-            continue
-        term = fit["product"]
-        low, high = term.limits
-        values = [
-            _finite(term.estimate), _exp(term.estimate), _exp(low), _exp(high), _finite(term.p),
-            _exp(fit["in_a"].estimate), _exp(fit[f"z_{m}"].estimate),
-        ]
-        if any(v is None for v in values):
-            out.append((m, "nonestimable", *empty, n, e, "inferential values were nonfinite"))
-        else:
-            out.append((m, "estimable", *values, n, e, ""))
-    errors.unpersist()
-    return df.sparkSession.createDataFrame(out, INTERACTION_SCHEMA)
-
-
-STANDARDISED_SCHEMA = T.StructType(
-    [T.StructField("error_type", T.StringType())]
-    + [
-        T.StructField(c, T.DoubleType())
-        for c in ("raw_gap", "g_computation_gap", "ipw_gap", "attenuation_pct")
-    ]
-    + [
-        T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()),
-        T.StructField("note", T.StringType()),
-    ]
+    ])
+    found = _by_key(heads, keys)
+    moments_of = [c for m in moderators for c in (f"m_{m}", f"s_{m}")]
+    if keys:
+        joined = null_safe_join(errors, F.broadcast(heads.select(*keys, *moments_of)), keys)
+    else:
+        joined = errors.withColumns({c: F.lit(found[()][c]).cast("double") for c in moments_of})
+    rows = joined.select(
+        *keys, "error", "in_a", *used,
+        *[((F.col(f"_z_{m}") - F.col(f"m_{m}")) / F.col(f"s_{m}")).alias(f"z_{m}") for m in moderators],
+        *[(F.col("in_a") * (F.col(f"_z_{m}") - F.col(f"m_{m}")) / F.col(f"s_{m}")).alias(f"product_{m}") for m in moderators],
+    ).persist()
+    fits = fit_all(rows, keys, [
+        Model(m, ("in_a", f"z_{m}", f"product_{m}", *adjusters), "error", standardise=tuple(adjusters)) for m in moderators
+    ])
+    out, empty = [], [None] * len(INTERACTION_VALUES)
+    for key, head in found.items():
+        for m in moderators:
+            n, e, na = head[f"n_{m}"], head[f"e_{m}"] or 0, head[f"a_{m}"] or 0
+            fit = fits.found.get((key, m))
+            if n < SMALLEST_SAMPLE or e < SMALLEST_GROUP or na < SMALLEST_GROUP:
+                out.append((*key, m, "nonestimable", *empty, n, e, "", "", "insufficient sample size"))
+                continue
+            status = fit.status if fit else "no_rows"
+            if status != "ok":
+                warning, error = FIT_WARNINGS.get(status, ""), FIT_ERRORS.get(status, "")
+                note = "fit failed" if error else "fit emitted warning" if status == "separation" else warning
+                out.append((*key, m, "nonestimable", *empty, n, e, warning, error, note))
+                continue
+            term, low, high, p = fit.wald(f"product_{m}")
+            values = [
+                _finite(term), _exp(term), _exp(low), _exp(high), _finite(p), _exp(fit.estimate("in_a")),
+                _exp(fit.estimate(f"z_{m}")),
+            ]
+            if any(v is None for v in values):
+                out.append((*key, m, "nonestimable", *empty, n, e, "", "", "inferential values were nonfinite"))
+            else:
+                out.append((*key, m, "estimable", *values, n, e, "", "", ""))
+    rows.unpersist()
+    fields = ", ".join(["moderator string", "status string", *[f"{v} double" for v in INTERACTION_VALUES]])
+    return df.sparkSession.createDataFrame(
+        out, _schema(df, keys, f"{fields}, n_obs long, n_error long, warning string, error string, note string")
+    )
+
+
+STANDARDISED = (
+    "error_type string, raw_gap double, g_computation_gap double, ipw_gap double, attenuation_pct double, "
+    "n_a long, n_b long, note string"
 )
 
 
 def standardised_error_gap(
     df: DataFrame, group: str, a, b, covariates: list[str], kind: str = "fn",
-    y: str = "y_true", pred: str = "pred",
+    y: str = "y_true", pred: str = "pred", keys: list[str] = [],
 ) -> DataFrame:
-    """Error-rate gap with covariates balanced by g-computation and by propensity weights."""
+    """Error-rate gap with covariates balanced by g-computation and by propensity weights.
+
+    A comparison with fewer than five rows in a group, or a model without a fit, has NULL gaps.
+    """
     rows = error_rows(df, group, a, b, kind, y, pred).persist()
     in_a = F.col("in_a") == 1
-    n_a, n_b, raw = rows.agg(
-        F.count_if(in_a), F.count_if(~in_a),
-        F.avg(F.when(in_a, F.col("error"))) - F.avg(F.when(~in_a, F.col("error"))),
-    ).first()
-    spark = df.sparkSession
-    if n_a < SMALLEST_GROUP or n_b < SMALLEST_GROUP:
-        rows.unpersist()
-        return spark.createDataFrame(
-            [(kind, None, None, None, None, n_a, n_b, "insufficient sample size in one subgroup")],
-            STANDARDISED_SCHEMA,
-        )
-    z = with_zscores(rows, covariates)
-    names = [f"z_{c}" for c in covariates]
-    try:
-        outcome = fit_logistic(z, ["in_a", *names], "error")
-        gap = z.agg(
-            F.avg(outcome.probability({"in_a": F.lit(1.0)}))
-            - F.avg(outcome.probability({"in_a": F.lit(0.0)}))
-        ).first()[0]
-    except NUMERICAL:
-        gap = None
-    try:
-        propensity = fit_logistic(z, names, "in_a")
-        p = F.least(F.greatest(propensity.probability(), F.lit(0.01)), F.lit(0.99))
-        share = n_a / (n_a + n_b)
-        w = F.when(in_a, F.lit(share) / p).otherwise(F.lit(1.0 - share) / (1.0 - p))
-        weighted = z.withColumn("_w", w)
-        mean = lambda cond: F.sum(F.when(cond, F.col("_w") * F.col("error"))) / F.sum(F.when(cond, F.col("_w")))
-        ipw = weighted.agg(mean(in_a) - mean(~in_a)).first()[0]
-    except NUMERICAL:
-        ipw = None
+    heads = _by_key(rows.groupBy(*keys).agg(
+        F.count_if(in_a).alias("n_a"), F.count_if(~in_a).alias("n_b"),
+        (F.avg(F.when(in_a, F.col("error"))) - F.avg(F.when(~in_a, F.col("error")))).alias("raw"),
+    ), keys)
+    z = tuple(covariates)
+    fits = fit_all(rows, keys, [
+        Model("outcome", ("in_a", *z), "error", ridge=1.0, standardise=z), Model("propensity", z, "in_a", ridge=1.0, standardise=z),
+    ])
+    scored = fits.scored(rows, "outcome", "_as_a", {"in_a": F.lit(1.0)})
+    scored = fits.scored(scored, "outcome", "_as_b", {"in_a": F.lit(0.0)})
+    scored = fits.scored(scored, "propensity", "_own").withColumn("_p", F.least(F.greatest("_own", F.lit(0.01)), F.lit(0.99)))
+    # the stabilising shares are common factors of a group's weights and cancel in its mean
+    weighted = scored.withColumn("_w", F.when(F.col("_own").isNotNull(), F.when(in_a, 1.0 / F.col("_p")).otherwise(1.0 / (1.0 - F.col("_p")))))
+    mean = lambda cond: F.sum(F.when(cond, F.col("_w") * F.col("error"))) / F.sum(F.when(cond, F.col("_w")))
+    gaps = _by_key(weighted.groupBy(*keys).agg(
+        (F.avg("_as_a") - F.avg("_as_b")).alias("g"), (mean(in_a) - mean(~in_a)).alias("ipw")
+    ), keys)
+    out = []
+    for key, head in heads.items():
+        if head["n_a"] < SMALLEST_GROUP or head["n_b"] < SMALLEST_GROUP:
+            out.append((*key, kind, None, None, None, None, head["n_a"], head["n_b"], "insufficient sample size in one subgroup"))
+            continue
+        g, ipw = gaps[key]["g"], gaps[key]["ipw"]
+        out.append((*key, kind, head["raw"], g, ipw, _explained(head["raw"], g), head["n_a"], head["n_b"], ""))
     rows.unpersist()
-    attenuation = 100.0 * (raw - gap) / raw if raw and gap is not None else None
-    return spark.createDataFrame(
-        [(kind, raw, gap, ipw, attenuation, n_a, n_b, "")], STANDARDISED_SCHEMA
-    )
+    return df.sparkSession.createDataFrame(out, _schema(df, keys, STANDARDISED))
