@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,10 @@ from .ranking import prefix_sums
 
 SIDES = tuple(f"{c}_{s}" for s in "ab" for c in COUNTS)
 BUCKET_MEMBERS = 2048
+#: Parts of a node of the split tree.
+FAN_OUT = 256
+#: Distinct scores ranked in one task, and cells of clusters weighted in one task.
+RANKED, WEIGHTED = 50_000, 50_000
 MAX_BROADCAST_FITS = 64
 RATE_GAPS = (
     "sensitivity", "specificity", "fpr", "fnr", "ppv", "npv", "predicted_positive_rate",
@@ -92,25 +96,55 @@ def row_count_replicates(
 def _bucket_draws(
     masses: DataFrame, keys: list[str], bucket: str, mass: str, n_boot: int, seed: int
 ) -> DataFrame:
-    """How many of the draws of each replicate fall into each bucket."""
-    schema = T.StructType(
-        [*_key_schema(masses, keys), masses.schema[bucket]]
-        + [
-            T.StructField("_mass", T.LongType()),
-            T.StructField("_draws", T.ArrayType(T.LongType())),
-        ]
-    )
+    """How many of the draws of each replicate fall into each bucket.
 
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(bucket)
-        sizes = pdf[mass].to_numpy(dtype=np.int64)
-        drawn = _rng(seed, "buckets", key).multinomial(sizes.sum(), sizes / sizes.sum(), size=n_boot)
-        out = pdf[[*keys, bucket]].copy()
-        out["_mass"] = sizes
+    The draws run down a split tree: the root deals them to at most ``FAN_OUT`` ranges of buckets by
+    their masses, and every range to its own parts, down to single buckets. A task holds one node's
+    parts, so any number of buckets may take part; the law of the counts is the multinomial's.
+    """
+    kind = masses.schema[bucket].dataType
+    schema = T.StructType(
+        [*_key_schema(masses, keys), T.StructField("_node", T.LongType()), T.StructField("_mass", T.LongType())]
+        + [T.StructField("_draws", T.ArrayType(T.LongType()))]
+    )
+    levels = [masses.select(*keys, F.col(bucket).cast("long").alias("_node"), F.col(mass).cast("long").alias("_mass"))]
+    last = levels[0].agg(F.max("_node")).first()[0] or 0
+    while last >= FAN_OUT:
+        last //= FAN_OUT
+        levels.append(levels[-1].groupBy(*keys, _parent()).agg(F.sum("_mass").alias("_mass")))
+
+    def deal(pdf: pd.DataFrame, rng: np.random.Generator, draws) -> pd.DataFrame:
+        pdf = pdf.sort_values("_node")
+        sizes = pdf["_mass"].to_numpy(dtype=np.int64)
+        total = sizes.sum()
+        drawn = rng.multinomial(total if draws is None else draws, sizes / total, size=n_boot if draws is None else None)
+        out = pdf[[*keys, "_node", "_mass"]].copy()
         out["_draws"] = list(drawn.T)
         return out
 
-    return masses.groupBy(*keys).applyInPandas(draw, schema)
+    def root(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return deal(pdf, _rng(seed, "buckets", key), None)
+
+    def node(level: int):
+        def split(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+            draws = np.asarray(above["_draws"].iloc[0], dtype=np.int64)
+            return deal(pdf, _rng(seed, "buckets", level, key), draws)
+
+        return split
+
+    drawn = levels[-1].groupBy(*keys).applyInPandas(root, schema)
+    for level in range(len(levels) - 2, -1, -1):
+        parts = levels[level].withColumn("_up", _parent())
+        drawn = (
+            parts.groupBy(*keys, "_up").cogroup(drawn.withColumnRenamed("_node", "_up").groupBy(*keys, "_up"))
+            .applyInPandas(node(level), schema)
+        )
+    return drawn.withColumn(bucket, F.col("_node").cast(kind)).select(*keys, bucket, "_mass", "_draws")
+
+
+def _parent() -> Column:
+    """Node above a node of the split tree."""
+    return F.floor(F.col("_node") / F.lit(FAN_OUT)).cast("long").alias("_node")
 
 
 def _cluster_buckets(clusters: DataFrame, keys: list[str], cluster: str) -> DataFrame:
@@ -488,19 +522,21 @@ def _cells(
 
 
 def _score_buckets(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Score ranges of at most ``BUCKET_MEMBERS`` distinct cells, cut where their count says so."""
-    eps = 1e-12
-    p = F.least(F.greatest(F.col("_prob"), F.lit(eps)), F.lit(1.0 - eps))
-    sizes = cells.groupBy(*keys).agg(F.approx_count_distinct(F.struct(*CELL)).alias("c"))
-    largest = sizes.agg(F.max("c")).first()[0] or 1
-    per_unit = min(65536, max(1, int(largest) // (4 * BUCKET_MEMBERS)))
-    scores = (
-        cells.select(*keys, *CELL).distinct().groupBy(*keys, "_prob").agg(F.count("*").alias("_c"))
-        .withColumn("_b", F.floor(F.ln(p / (1.0 - p)) * float(per_unit)).cast("int"))
-    )
+    """Score ranges of at most ``BUCKET_MEMBERS`` distinct cells, cut where their count says so.
+
+    Distinct scores are dealt to tasks by sampled ranges of (keys, score), so a narrow band of many
+    scores is spread like any other; running counts over the ranges and inside each give the places.
+    """
+    ensure_checkpoint_dir(cells.sparkSession)
+    scores = cells.select(*keys, *CELL).distinct().groupBy(*keys, "_prob").agg(F.count("*").alias("_c")).persist()
+    ranges = -(-scores.count() // RANKED) or 1
+    dealt = scores.repartitionByRange(ranges, *[F.col(k) for k in keys], "_prob")
+    # written down, so that a range keeps its number when a task is repeated
+    ranged = dealt.withColumn("_p", F.spark_partition_id()).checkpoint()
+    scores.unpersist()
     # A score has eight cells at most; they stay together.
     width = BUCKET_MEMBERS - 7
-    placed = prefix_sums(scores, keys, "_b", "_prob", ["_c"], descending=False).select(
+    placed = prefix_sums(ranged, keys, "_p", "_prob", ["_c"], descending=False).select(
         *keys, "_prob", F.floor((F.col("cum__c") - F.col("_c")) / width).cast("int").alias("_b")
     )
     return null_safe_join(cells, sized_broadcast(placed), [*keys, "_prob"])
@@ -573,9 +609,8 @@ def weighted_cells_by_cluster(
 ) -> DataFrame:
     """Cluster bootstrap weights of score cells.
 
-    Every cluster has one multiplicity per replicate. Its rows carry it to the
-    score cells; equal cells are added up inside each task before the shuffle,
-    so ties do not pile up in one place.
+    Every cluster has one multiplicity per replicate. They are drawn, bucket by bucket of clusters,
+    in the tasks that hold the buckets' cells; only one weight vector per distinct cell leaves a task.
     """
     cells = _score_buckets(
         _cells(df, keys, group, a, b, y, prob, pred, [cluster]).persist(StorageLevel.MEMORY_AND_DISK),
@@ -583,57 +618,53 @@ def weighted_cells_by_cluster(
     )
     clusters = cells.select(*keys, cluster).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     marked, draws = _cluster_draws(clusters, keys, cluster, n_boot, seed)
-    weight_schema = T.StructType(
-        [*_key_schema(df, keys), df.schema[cluster], T.StructField("_w", T.BinaryType())]
-    )
-
-    def weigh(key: tuple, pdf: pd.DataFrame, drawn_to: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cluster).reset_index(drop=True)
-        weights = _weights(drawn_to, len(pdf), key, seed).astype(np.int64)
-        out = pdf[[*keys, cluster]].copy()
-        out["_w"] = [np.concatenate([[1], weights[:, j]]).tobytes() for j in range(len(pdf))]
-        return out
-
-    weights = (
-        marked.groupBy(*keys, "_cb").cogroup(draws.groupBy(*keys, "_cb"))
-        .applyInPandas(weigh, weight_schema)
-    )
-    rows = null_safe_join(cells, weights, [*keys, cluster]).select(*keys, "_b", *CELL, "_n", "_w")
+    inside = Window.partitionBy(*keys, "_cb")
+    placed = marked.withColumn("_ci", F.row_number().over(inside.orderBy(cluster)) - 1).withColumn("_cn", F.count("*").over(inside))
+    rows = null_safe_join(cells, placed, [*keys, cluster]).drop(cluster)
+    # a bucket with many cells (a cluster may hold most rows) is weighted in several tasks
+    shares = rows.groupBy(*keys, "_cb").agg(F.ceil(F.count("*") / F.lit(WEIGHTED)).cast("int").alias("_shares")).persist()
+    cut = null_safe_join(rows, sized_broadcast(shares), [*keys, "_cb"]).withColumn(
+        "_share", F.pmod(F.xxhash64("_b", *CELL, "_ci"), F.col("_shares")).cast("int")
+    )
+    draws_of = null_safe_join(draws, shares, [*keys, "_cb"]).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))
+    ).select(*keys, "_cb", "_share", "_draws")
     sum_schema = T.StructType(
         [*_key_schema(df, keys), T.StructField("_b", T.IntegerType())]
         + [rows.schema[c] for c in CELL] + [T.StructField("_w", T.BinaryType())]
     )
     names = [*keys, "_b", *CELL]
 
-    def added(pdf: pd.DataFrame, by: list[str], times: np.ndarray | None) -> pd.DataFrame:
-        """Sum the weight vectors of equal cells."""
-        matrix = np.frombuffer(b"".join(pdf["_w"]), dtype=np.int64).reshape(len(pdf), -1)
-        if times is not None:
-            matrix = matrix * times[:, None]
-        code = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    def added(pdf: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
+        """Sum the weight vectors (rows of ``matrix``) of equal cells."""
+        code = pdf.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
         order = np.argsort(code, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-        out = pdf[by].iloc[order[starts]].reset_index(drop=True)
+        out = pdf[names].iloc[order[starts]].reset_index(drop=True)
         out["_w"] = [w.tobytes() for w in np.add.reduceat(matrix[order], starts, axis=0)]
         return out
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            part = added(pdf, names, pdf["_n"].to_numpy(dtype=np.int64))
-            held = part if held is None else added(pd.concat([held, part]), names, None)
-            if len(held) > 4 * BUCKET_MEMBERS:
-                yield held[[*names, "_w"]]
-                held = None
-        if held is not None:
-            yield held[[*names, "_w"]]
-
-    partial = rows.mapInPandas(combine, sum_schema)
+    def weigh(key: tuple, pdf: pd.DataFrame, drawn_to: pd.DataFrame) -> pd.DataFrame:
+        """The bucket's multiplicities, drawn where its cells lie; only sums per cell leave the task."""
+        weights = _weights(drawn_to, int(pdf["_cn"].iloc[0]), key[:-1], seed).astype(np.int64)
+        weights = np.vstack([np.ones((1, weights.shape[1]), dtype=np.int64), weights])
+        parts = []
+        for start in range(0, len(pdf), BUCKET_MEMBERS):
+            part = pdf.iloc[start : start + BUCKET_MEMBERS]
+            times = part["_n"].to_numpy(dtype=np.int64)
+            parts.append(added(part, weights[:, part["_ci"].to_numpy()].T * times[:, None]))
+        return merged(pd.concat(parts)) if len(parts) > 1 else parts[0]
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return added(pdf, np.frombuffer(b"".join(pdf["_w"]), dtype=np.int64).reshape(len(pdf), -1))
+
+    partial = (
+        cut.groupBy(*keys, "_cb", "_share").cogroup(draws_of.groupBy(*keys, "_cb", "_share"))
+        .applyInPandas(weigh, sum_schema)
+    )
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = added(pdf, [*keys, "_b", *CELL], None)
+        total = merged(pdf)
         matrix = np.frombuffer(b"".join(total["_w"]), dtype=np.int64).reshape(len(total), -1)
         return _packed(total, keys, matrix.T)
 
@@ -687,8 +718,6 @@ def score_replicates(packed: DataFrame, keys: list[str], n_boot: int) -> DataFra
                     frame.insert(i, k, row[i])
                 yield frame
 
-    from pyspark.sql import Window
-
     parts = packed.mapInPandas(reduce, schema)
     above = (
         Window.partitionBy(*keys, "replicate").orderBy(F.col("_b").desc())
