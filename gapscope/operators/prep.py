@@ -107,7 +107,9 @@ def fit_categories(train: DataFrame, keys: list[str], spec: list[Categorical]) -
 def level_lists(categories: DataFrame, spec: DesignSpec, part: str | None = None) -> dict:
     """Levels per source on the driver, where they name the columns of the design.
 
-    With ``part`` the result is one such table per value of that key column.
+    With ``part`` the result is one such table per value of that key column. Without it, keys whose
+    levels differ have no common columns (nor reference), which is an error; :func:`sparse_design`
+    gives every key its own.
     """
     columns = ["source", "category", "position"] + ([part] if part else [])
     rows = categories.select(*columns).distinct().collect()
@@ -115,8 +117,11 @@ def level_lists(categories: DataFrame, spec: DesignSpec, part: str | None = None
     out = {}
     for v in {r[part] for r in rows} if part else {None}:
         found = {c.source: [] for c in spec.categorical}
+        places: dict = {}
         for r in rows:
-            if (part is None or r[part] == v) and r["category"] not in found[r["source"]]:
+            if part is None or r[part] == v:
+                if places.setdefault((r["source"], r["position"]), r["category"]) != r["category"]:
+                    raise ValueError(f"the keys' levels of {r['source']} differ; use sparse_design")
                 found[r["source"]].append(r["category"])
         empty = [s for s, levels in found.items() if not levels]
         if empty:
@@ -188,6 +193,73 @@ def apply_design(
     return joined.select(*carry, *columns)
 
 
+def column_layout(
+    medians: DataFrame, categories: DataFrame, keys: list[str], spec: DesignSpec
+) -> tuple[DataFrame, DataFrame]:
+    """Every key's own columns: the features' places, and the places of the levels.
+
+    The first table has (keys, feature, width, offset): a number takes one column, a categorical
+    source one for each of the key's levels but the reference. The second has (keys, source,
+    category, column_no, indicator), without references. Both come from grouped jobs; neither
+    levels nor keys reach the driver.
+    """
+    order = F.create_map(*[F.lit(x) for i, f in enumerate(spec.features) for x in (f, i)])
+    numbers = medians.select(*keys, F.col("column").alias("feature"), F.lit(1).alias("width"))
+    levels = categories.groupBy(*keys, F.col("source").alias("feature")).agg(F.count_if(~F.col("is_reference")).cast("int").alias("width"))
+    upto = Window.partitionBy(*keys).orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    layout = numbers.unionByName(levels).withColumn("_no", order[F.col("feature")]).where("_no is not null").withColumn(
+        "offset", F.coalesce(F.sum("width").over(upto), F.lit(0)).cast("int")
+    ).drop("_no")
+    placed = null_safe_join(
+        categories.where("not is_reference"), layout.select(*keys, F.col("feature").alias("source"), "offset"), [*keys, "source"]
+    )
+    inside = Window.partitionBy(*keys, "source").orderBy("position")
+    return layout, placed.select(
+        *keys, "source", "category", (F.col("offset") + F.row_number().over(inside) - 1).alias("column_no"), "indicator"
+    )
+
+
+def sparse_design(
+    df: DataFrame, keys: list[str], spec: DesignSpec, medians: DataFrame, categories: DataFrame, carry: list[str]
+) -> DataFrame:
+    """carry, size, indices, values: each row's design vector over the columns of its own key.
+
+    Missing numbers get the key's median; a missing level, the reference and a level unseen in
+    training set no indicator. Levels are joined, so their number is not bounded; the join is a
+    broadcast only after the levels were counted.
+    """
+    layout, levels = column_layout(medians, categories, keys, spec)
+    wide = layout.groupBy(*keys).agg(
+        F.sum("width").cast("int").alias("size"), *[F.max(F.when(F.col("feature") == f, F.col("offset"))).alias(f"_o_{f}") for f in spec.numeric]
+    )
+    fill = medians.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_m_{c}") for c in spec.numeric], F.lit(True).alias("_known")
+    )
+    rows = null_safe_join(df, sized_broadcast(null_safe_join(wide, fill, keys, "left")), keys)
+    for c in spec.categorical:
+        own = levels.where(F.col("source") == c.source).select(*keys, F.col("category").alias(f"_v_{c.source}"), F.col("column_no").alias(f"_o_{c.source}"))
+        rows = null_safe_join(rows.withColumn(f"_v_{c.source}", F.col(c.source).cast("string")), sized_broadcast(own), [*keys, f"_v_{c.source}"], "left")
+    number = lambda f: F.coalesce(F.col(f).try_cast("double"), F.col(f"_m_{f}"))
+    cells = F.array_compact(F.array(*[
+        F.when(F.col(f"_o_{f}").isNotNull(), F.struct(F.col(f"_o_{f}").alias("i"), (number(f) if f in spec.numeric else F.lit(1.0)).alias("v")))
+        for f in spec.features
+    ]))
+    return rows.withColumn("_c", cells).select(
+        *carry, "size", F.transform("_c", lambda c: c["i"]).alias("indices"), F.transform("_c", lambda c: c["v"]).alias("values")
+    )
+
+
+def expand_blocks_by_key(
+    blocks: dict[str, list[str]], medians: DataFrame, categories: DataFrame, keys: list[str]
+) -> DataFrame:
+    """(keys, block, column): covariate blocks with each key's own indicators for categorical sources."""
+    named = [(b, c) for b, columns in blocks.items() for c in columns]
+    asked = medians.sparkSession.createDataFrame(named, "block string, feature string")
+    numbers = medians.select(*keys, F.col("column").alias("feature"), F.col("column"))
+    levels = categories.where("not is_reference").select(*keys, F.col("source").alias("feature"), F.col("indicator").alias("column"))
+    return numbers.unionByName(levels).join(F.broadcast(asked), "feature").select(*keys, "block", "column")
+
+
 def unseen_categories(
     df: DataFrame, keys: list[str], spec: list[Categorical], categories: DataFrame
 ) -> DataFrame:

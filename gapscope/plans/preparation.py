@@ -719,6 +719,47 @@ def _(spark, d):
     return counts.select("n_rows", F.explode(entries).alias("_e")).select("_e.*", "n_rows")
 
 
+#: Subgroup A learns from early hours without errors, so the subgroups' levels and references differ.
+OWN_LEVELS = "subgroup = 'B' or (hour < 12 and cat <> 'error')"
+LAYOUT_SQL = f"""with {SURV}, tr as (select * from surv where {OWN_LEVELS}),
+    md as (select subgroup, coalesce(median(num), 0) mn, coalesce(median(hour), 0) mh from tr group by subgroup),
+    lv as (select subgroup, cat, row_number() over (partition by subgroup order by cat) - 1 pos from (select distinct subgroup, cat from tr where cat is not null) u),
+    wd as (select subgroup, count(*) - 1 w from lv group by subgroup)"""
+
+
+@query(
+    "transform_per_key",
+    f"""{LAYOUT_SQL}, v as (select s.row_id, s.subgroup, (w + 2)::int size, 0 column_no, coalesce(num, mn) v from surv s join md using (subgroup) join wd using (subgroup)
+      union all select s.row_id, s.subgroup, (w + 2)::int, pos, 1.0 from surv s join wd using (subgroup) join lv on lv.subgroup = s.subgroup and lv.cat = s.cat where pos > 0
+      union all select s.row_id, s.subgroup, (w + 2)::int, w + 1, coalesce(hour::double, mh) from surv s join md using (subgroup) join wd using (subgroup))
+    select row_id, subgroup, size, column_no::int column_no, v::double as value from v""",
+    "value",
+)
+def _(spark, d):
+    """Design vectors over each subgroup's own columns, one row per stored entry."""
+    rows, keys = survey_events(spark, d), ["subgroup"]
+    train = rows.where(OWN_LEVELS)
+    medians, categories = P.fit_medians(train, keys, SPEC.numeric), P.fit_categories(train, keys, SPEC.categorical)
+    found = P.sparse_design(rows, keys, SPEC, medians, categories, ["row_id", "subgroup"])
+    cells = F.explode(F.arrays_zip(F.col("indices").alias("i"), F.col("values").alias("v")))
+    return found.select("row_id", "subgroup", "size", cells.alias("_c")).select(
+        "row_id", "subgroup", "size", F.col("_c.i").alias("column_no"), F.col("_c.v").alias("value")
+    )
+
+
+@query(
+    "expand_blocks_per_key",
+    f"""{LAYOUT_SQL} select subgroup, 'time' block, 'hour' as column from md union all select subgroup, 'activity', 'num' from md
+    union all select subgroup, 'activity', 'cat_' || cat from lv where pos > 0""",
+)
+def _(spark, d):
+    """Covariate blocks of each subgroup with its own indicators."""
+    rows, keys = survey_events(spark, d), ["subgroup"]
+    train = rows.where(OWN_LEVELS)
+    medians, categories = P.fit_medians(train, keys, SPEC.numeric), P.fit_categories(train, keys, SPEC.categorical)
+    return P.expand_blocks_by_key({"time": ["hour"], "activity": ["cat", "num"]}, medians, categories, keys)
+
+
 @query(
     "cumulative_blocks",
     """select region_no, block, string_agg(member, ',' order by o_no, member) members from (
