@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import null_safe_join
+from .ranking import numbered_rows
 
 # Name fragments of continuous diagnostics and their tolerance.
 CONTINUOUS_FRAGMENTS = ("auroc", "brier", "calib", "ece", "auprc", "prob")
@@ -56,8 +57,11 @@ def run_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Differences between two tables aligned on ``keys``, one row per difference.
 
     Equal cells are not reported. Structure rows name columns or keys present on
-    one side only.
+    one side only. Without keys rows are aligned by their position in the table: tables of different
+    length give one structure row with both lengths, and positions that both have are compared.
     """
+    if not keys:
+        return _positional_diff(old, new)
     shared = [c for c in old.columns if c in new.columns and c not in keys]
     one_sided = [(c, "column only in baseline") for c in old.columns if c not in new.columns]
     one_sided += [(c, "column only in candidate") for c in new.columns if c not in old.columns]
@@ -112,6 +116,47 @@ def run_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
+def _positional_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Differences of two tables without a key, aligned by running row numbers."""
+    first, second = numbered_rows(old, "_position"), numbered_rows(new, "_position")
+    found = run_diff(first, second, ["_position"])
+    one_sided = (F.col("classification") == "STRUCTURE") & (F.col("column") == "")
+    n_old, n_new = old.agg(F.count("*").alias("o")), new.agg(F.count("*").alias("n"))
+    lengths = n_old.withColumn("_one", F.lit(1)).join(n_new.withColumn("_one", F.lit(1)), "_one").where("o <> n").select(
+        F.lit("").alias("row_key"), F.lit("").alias("column"), F.lit("STRUCTURE").alias("classification"),
+        F.concat(F.lit("rows="), F.col("o").cast("string")).alias("baseline"), F.concat(F.lit("rows="), F.col("n").cast("string")).alias("candidate"),
+        F.lit("row count differs").alias("difference"),
+    )
+    return found.where(~one_sided).unionByName(lengths)
+
+
+def compare_runs(
+    old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str, list[str]]
+) -> DataFrame:
+    """Differences of two runs file by file; ``keys`` names the row key of each file, if it has one.
+
+    A file only in the baseline is a structure row, one only in the candidate a new output.
+    """
+    parts = [
+        run_diff(old[name], new[name], keys.get(name, [])).select(F.lit(name).alias("file"), "*") for name in sorted(old.keys() & new.keys())
+    ]
+    alone = [(n, "", "", "STRUCTURE", "present", "absent", "file only in baseline") for n in sorted(old.keys() - new.keys())]
+    alone += [(n, "", "", "NEW_OUTPUT", "absent", "present", "file only in candidate") for n in sorted(new.keys() - old.keys())]
+    spark = next(iter([*old.values(), *new.values()])).sparkSession
+    names = "file string, row_key string, column string, classification string, baseline string, candidate string, difference string"
+    out = spark.createDataFrame(alone, names)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def run_summary(diff: DataFrame) -> DataFrame:
+    """Per file and classification the differences, and whether a cell of the file changed."""
+    changed = F.max(F.col("classification") == "CHANGED").over(Window.partitionBy("file"))
+    counts = diff.groupBy("file", "classification").agg(F.count("*").alias("n"))
+    return counts.withColumn("file_has_changed_cells", changed)
+
+
 def infer_row_key(df: DataFrame, candidates: list[str], longest: int = 5) -> DataFrame:
     """Shortest prefix of the candidate columns without duplicate rows; all in one aggregate."""
     prefixes = [candidates[: i + 1] for i in range(min(len(candidates), longest))]

@@ -9,11 +9,12 @@ only inside a bucket.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_text, value_lattice
-from ..session import null_safe_join, sized_broadcast
+from ..session import ensure_checkpoint_dir, null_safe_join, sized_broadcast
 
 HASH_BUCKETS_HEX = 4
 
@@ -59,6 +60,40 @@ def prefix_sums(
     )
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: str, rows_per_range: int, name: str = "_p") -> DataFrame:
+    """``df`` dealt to ranges of (keys, order) of about ``rows_per_range`` rows, numbered in ``name``.
+
+    Ranges are cut at sampled values, so however alike the values are (a common prefix, a narrow
+    band) no range holds many; equal values share one. The result is written down, so that a row
+    keeps its range when a task is repeated, and ``name`` may serve as bucket of :func:`prefix_sums`.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.persist()
+    ranges = -(-kept.count() // rows_per_range) or 1
+    dealt = kept.repartitionByRange(ranges, *[F.col(k) for k in keys], F.col(order))
+    out = dealt.withColumn(name, F.spark_partition_id()).checkpoint()
+    kept.unpersist()
+    return out
+
+
+def numbered_rows(df: DataFrame, name: str = "_position") -> DataFrame:
+    """Rows numbered from 0 in the order of the table: of its files where it is read from files.
+
+    Two levels: rows are counted by part of a file (or by partition), and a row's number is its place
+    in the part after the parts before it. No part is sorted and no row moves.
+    """
+    try:
+        df.select("_metadata.file_path")
+        part = F.struct(F.col("_metadata.file_path").alias("a"), F.col("_metadata.file_block_start").alias("b"))
+    except AnalysisException:
+        part = F.struct(F.lit("").alias("a"), F.spark_partition_id().cast("long").alias("b"))
+    placed = df.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_seen"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seen").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return placed.join(sized_broadcast(offsets), "_part").select(*df.columns, (F.col("_seen") - F.col("_first") + F.col("_o")).alias(name))
+
+
 def _known(df: DataFrame, value: str) -> DataFrame:
     """Rows with a value; NaN counts as missing."""
     return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -247,6 +282,58 @@ def hash_parts(
     return labelled.select(*df.columns, part.alias(name))
 
 
+def hash_selections(
+    df: DataFrame, keys: list[str], stratum: str, ids: list[str], plans: dict[str, tuple[int, Column]], sizes: dict[str, Column], cuts: dict[str, Column],
+) -> DataFrame:
+    """Exact-size pseudo-random selections of several plans at once: a boolean column per plan.
+
+    A plan has a seed and a condition; among the rows that meet it, ``cuts[plan]`` rows of every
+    (keys, stratum) are selected by their hash. Cuts may use the counts named in ``sizes``: sums
+    over (keys) of the columns ``plan``, ``stratum`` and ``n`` (rows of a stratum that meet a plan's
+    condition); they are returned as columns too. One grouped count of hash buckets serves all plans, and only rows of the
+    buckets in which a cut falls are ranked, so exchanges do not grow with the number of plans.
+    """
+    if not keys:
+        # a constant that the optimiser does not fold, so joins on it stay equi-joins
+        one = F.coalesce(F.substring(F.col(ids[0]).cast("string"), 1, 0), F.lit(""))
+        return hash_selections(df.withColumn("_all", one), ["_all"], stratum, ids, plans, sizes, cuts).drop("_all")
+    names = list(plans)
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
+    marks = [
+        F.when(condition, F.struct(F.lit(i).alias("plan"), hash_text(ids, seed).alias("h"))) for i, (seed, condition) in enumerate(plans.values())
+    ]
+    members = df.withColumn("_x", F.explode(F.array_compact(F.array(*marks)))).select(
+        *keys, stratum, text.alias("_id"), F.col("_x.plan").alias("plan"), F.col("_x.h").alias("_h"),
+        F.conv(F.substring("_x.h", 1, HASH_BUCKETS_HEX), 16, 10).cast("int").alias("_b"),
+    )
+    counts = members.groupBy(*keys, stratum, "plan", "_b").agg(F.count("*").alias("n")).persist()
+    plan_no = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (i, n)])
+    totals = counts.groupBy(*keys, stratum, "plan").agg(F.sum("n").alias("n")).withColumn("plan", plan_no[F.col("plan")])
+    known = totals.groupBy(*keys).agg(*[c.alias(n) for n, c in sizes.items()])
+    upto = Window.partitionBy(*keys, stratum, "plan").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = null_safe_join(counts, sized_broadcast(known), keys).withColumn("_upto", F.sum("n").over(upto))
+    cut = F.lit(None).cast("bigint")
+    for i, n in enumerate(names):
+        cut = F.when(F.col("plan") == i, cuts[n].cast("bigint")).otherwise(cut)
+    before = F.col("_upto") - F.col("n")
+    targets = placed.withColumn("_cut", cut).where((F.col("_cut") > before) & (F.col("_cut") <= F.col("_upto"))).select(
+        *keys, stratum, "plan", "_b", (F.col("_cut") - before).alias("_r")
+    )
+    place = F.row_number().over(Window.partitionBy(*keys, stratum, "plan", "_b").orderBy("_h", "_id"))
+    edges = (
+        null_safe_join(members, sized_broadcast(targets), [*keys, stratum, "plan", "_b"]).withColumn("_rn", place).where(F.col("_rn") == F.col("_r"))
+        .groupBy(*keys, stratum).agg(*[F.max(F.when(F.col("plan") == i, F.struct("_h", "_id"))).alias(f"_e{i}") for i in range(len(names))])
+    )
+    wide = null_safe_join(totals.select(*keys, stratum).distinct(), known, keys)
+    wide = sized_broadcast(null_safe_join(wide, edges, [*keys, stratum], "left"))
+    labelled = null_safe_join(df.withColumn("_id", text), wide, [*keys, stratum], "left")
+    chosen = {
+        n: condition & F.coalesce(F.struct(hash_text(ids, seed).alias("_h"), F.col("_id")) <= F.col(f"_e{i}"), F.lit(False))
+        for i, (n, (seed, condition)) in enumerate(plans.items())
+    }
+    return labelled.select(*df.columns, *sizes, *[c.alias(n) for n, c in chosen.items()])
+
+
 def even_cuts(parts: int) -> list[Column]:
     """Cumulative sizes that split a stratum into ``parts`` sizes differing by at most one."""
     base, extra = F.floor(F.col("_total") / parts), F.col("_total") % parts

@@ -33,7 +33,7 @@ from ..functions.columns import (
 from ..session import ensure_checkpoint_dir, null_safe_join, sized_broadcast
 from . import gaps as G
 from .intervals import percentile_interval
-from .ranking import prefix_sums
+from .ranking import in_ranges, prefix_sums
 
 SIDES = tuple(f"{c}_{s}" for s in "ab" for c in COUNTS)
 BUCKET_MEMBERS = 2048
@@ -527,13 +527,8 @@ def _score_buckets(cells: DataFrame, keys: list[str]) -> DataFrame:
     Distinct scores are dealt to tasks by sampled ranges of (keys, score), so a narrow band of many
     scores is spread like any other; running counts over the ranges and inside each give the places.
     """
-    ensure_checkpoint_dir(cells.sparkSession)
-    scores = cells.select(*keys, *CELL).distinct().groupBy(*keys, "_prob").agg(F.count("*").alias("_c")).persist()
-    ranges = -(-scores.count() // RANKED) or 1
-    dealt = scores.repartitionByRange(ranges, *[F.col(k) for k in keys], "_prob")
-    # written down, so that a range keeps its number when a task is repeated
-    ranged = dealt.withColumn("_p", F.spark_partition_id()).checkpoint()
-    scores.unpersist()
+    scores = cells.select(*keys, *CELL).distinct().groupBy(*keys, "_prob").agg(F.count("*").alias("_c"))
+    ranged = in_ranges(scores, keys, "_prob", RANKED)
     # A score has eight cells at most; they stay together.
     width = BUCKET_MEMBERS - 7
     placed = prefix_sums(ranged, keys, "_p", "_prob", ["_c"], descending=False).select(

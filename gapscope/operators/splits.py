@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import null_safe_join, sized_broadcast
-from .ranking import even_cuts, hash_parts
+from .ranking import even_cuts, hash_parts, hash_selections
 
 
 class IsolationError(RuntimeError):
@@ -163,35 +163,26 @@ def union_holdouts(parts: list[DataFrame], row_id: list[str]) -> DataFrame:
     )
 
 
+#: Distinct ids numbered in one task.
+TOKEN_RANGE = 50_000
+
+
 def dense_cluster_token(
     df: DataFrame, keys: list[str], cluster: str = "cluster_id", prefix: str = "P",
     name: str = "cluster_token",
 ) -> DataFrame:
     """Distinct clusters numbered in the order of their text: P000001, P000002, ...
 
-    Ids are bucketed by the first characters after the prefix all ids share, so
-    the ordering is done inside buckets with offsets from the bucket counts.
+    Ids are dealt to ranges of their order, cut at sampled ids, and numbered inside a range behind
+    the ranges before it; a prefix that all (or all but one) ids share does not put them together.
     """
-    from .ranking import prefix_sums
+    from .ranking import in_ranges, prefix_sums
 
     ids = df.where(F.col(cluster).isNotNull()).select(
         *keys, F.col(cluster).cast("string").alias("_c")
     ).distinct()
-    ends = ids.groupBy(*keys).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
-    longest = F.least(F.length("_lo"), F.length("_hi"))
-    same = F.aggregate(
-        F.sequence(F.lit(0), longest),
-        F.lit(0),
-        lambda acc, i: F.when(
-            F.substr(F.col("_lo"), F.lit(1), i) == F.substr(F.col("_hi"), F.lit(1), i), i
-        ).otherwise(acc),
-    )
-    starts = sized_broadcast(ends.select(*keys, same.alias("_skip")))
-    cells = null_safe_join(ids, starts, keys).select(
-        *keys, "_c", F.substr(F.col("_c"), F.col("_skip") + 1, F.lit(4)).alias("_b"),
-        F.lit(1).cast("bigint").alias("one"),
-    )
-    ranked = prefix_sums(cells, keys, "_b", "_c", ["one"], descending=False)
+    cells = in_ranges(ids, keys, "_c", TOKEN_RANGE).withColumn("one", F.lit(1).cast("bigint"))
+    ranked = prefix_sums(cells, keys, "_p", "_c", ["one"], descending=False)
     return ranked.select(
         *keys, F.col("_c").alias(cluster),
         F.format_string(prefix + "%06d", F.col("cum_one")).alias(name),
@@ -212,35 +203,29 @@ def balanced_training(
 ) -> DataFrame:
     """Training rows with a weight per scheme; a row left out by a scheme has NULL.
 
-    One row in, one row out: the three downsampling schemes are exact-size
-    hash selections inside (group) and (group, outcome).
+    One row in, one row out: the three downsampling schemes are exact-size hash selections, all
+    from one count of hash buckets; the sizes of groups and outcomes come from the same count.
     """
     kept = df.where(F.col(group).isin([a, b]))
-    n = lambda cond: F.count_if(cond).cast("double")
-    is_a, pos = F.col(group) == F.lit(a), F.col(y) == 1
-    sizes = kept.groupBy(*keys).agg(
-        n(is_a).alias("_z_na"), n(~is_a).alias("_z_nb"), n(is_a & pos).alias("_z_pa"),
-        n(~is_a & pos).alias("_z_pb"), n(pos).alias("_z_p"), F.count("*").cast("double").alias("_z_n"),
-    )
-    rows = null_safe_join(kept, sized_broadcast(sizes), keys)
-    helper = ["_z_na", "_z_nb", "_z_pa", "_z_pb", "_z_p", "_z_n"]
-    by_size = hash_parts(
-        rows, [*keys, group, *helper], [row_id], seed, [F.least("_z_na", "_z_nb")], "_size"
-    )
+    n = lambda plan, member: F.coalesce(F.sum(F.when((F.col("plan") == plan) & member, F.col("n"))), F.lit(0)).cast("double")
+    is_a, pos, every = F.col(group) == F.lit(a), F.coalesce(F.col(y) == 1, F.lit(False)), F.lit(True)
+    sizes = {
+        "_z_na": n("_size", is_a), "_z_nb": n("_size", ~is_a), "_z_pa": n("_cases", is_a), "_z_pb": n("_cases", ~is_a),
+        "_z_p": n("_cases", every), "_z_n": n("_size", every),
+    }
     share = F.least(F.try_divide(F.col("_z_pa"), F.col("_z_na")), F.try_divide(F.col("_z_pb"), F.col("_z_nb")))
-    own_n = F.when(F.col(group) == F.lit(a), F.col("_z_na")).otherwise(F.col("_z_nb"))
-    positives_cut = F.when(F.col(y) == 1, F.least("_z_pa", "_z_pb")).otherwise(F.col("_total"))
-    prevalence_cut = F.when(F.col(y) == 1, F.bround(share * own_n)).otherwise(F.col("_total"))
-    strata = [*keys, group, y, *helper]
-    by_pos = hash_parts(by_size, strata, [row_id], seed + 1, [positives_cut], "_cases")
-    by_prev = hash_parts(by_pos, strata, [row_id], seed + 2, [prevalence_cut], "_prev")
+    own_n = F.when(is_a, F.col("_z_na")).otherwise(F.col("_z_nb"))
+    by_prev = hash_selections(
+        kept, keys, group, [row_id], {"_size": (seed, every), "_cases": (seed + 1, pos), "_prev": (seed + 2, pos)}, sizes,
+        {"_size": F.least("_z_na", "_z_nb"), "_cases": F.least("_z_pa", "_z_pb"), "_prev": F.bround(share * own_n)},
+    )
     p, total = F.col("_z_p"), F.col("_z_n")
     own_p = F.when(F.col(group) == F.lit(a), F.col("_z_pa")).otherwise(F.col("_z_pb"))
     weights = {
         "original": F.lit(1.0),
-        "equal_sample_size": F.when(F.col("_size") == 0, F.lit(1.0)),
-        "equal_positive_cases": F.when(F.col("_cases") == 0, F.lit(1.0)),
-        "equal_prevalence": F.when(F.col("_prev") == 0, F.lit(1.0)),
+        "equal_sample_size": F.when(F.col("_size"), F.lit(1.0)),
+        "equal_positive_cases": F.when(~pos | F.col("_cases"), F.lit(1.0)),
+        "equal_prevalence": F.when(~pos | F.col("_prev"), F.lit(1.0)),
         "class_balanced_weighting": F.try_divide(
             total, 2.0 * F.when(F.col(y) == 1, p).otherwise(total - p)
         ),
