@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import COUNTS, excludes_zero
 from ..schema import (
+    CALIBRATION_COLUMNS,
+    EXPORT_COLUMNS,
     FIGURE_COLUMNS,
+    PERFORMANCE_COLUMNS,
     ROBUSTNESS_METRICS,
     check_columns,
     robustness_columns,
@@ -18,6 +21,8 @@ from ..session import null_safe_join
 TYPE_ORDER = ("sex", "age", "race", "race_secondary")
 FIGURE_COUNTS = {"sex": 5, "age": 5, "race/ethnicity": 3}
 FIGURE_ROWS = 13
+# Fixed value: name of the interval method.
+CI_METHOD = "percentile"
 
 
 def robustness_summary(results: DataFrame, key: str = "dataset") -> DataFrame:
@@ -180,7 +185,7 @@ def scored_export(
         F.count_if(F.col("_y").isNull() | F.col("y_true").isNull()).alias("n_unmatched"),
         F.count_if(F.col("cluster_id").isNull()).alias("n_missing_cluster"),
         F.count_if(F.col("y_true") != F.col("_y")).alias("n_outcome_differs"),
-        F.count_if(F.col("prob_calibrated") != F.col("_p")).alias("n_probability_differs"),
+        F.count_if(~F.col("prob_calibrated").eqNullSafe(F.col("_p"))).alias("n_probability_differs"),
         F.count_if(F.col("y_pred_at_threshold") != rule).alias("n_prediction_differs"),
     )
 
@@ -220,3 +225,56 @@ def performance_rows(
     wide = parts.groupBy(*keys, "scope").agg(*cells)
     joined = null_safe_join(null_safe_join(left, wide, [*keys, "scope"], "left"), statuses, [*keys, "scope"], "left")
     return joined.drop("scope")
+
+
+def performance_export(
+    rows: DataFrame, design: DataFrame, keys: list[str], named: dict[str, Column], n_boot: int, level: float = 0.95, group: str = "subgroup",
+) -> DataFrame:
+    """The performance file of comparisons: :func:`performance_rows` with all columns of the contract.
+
+    ``design`` is the bootstrap's description per comparison; ``named`` gives dataset,
+    comparison_type, comparison, selected_family, operating_threshold and the group's label.
+    """
+    joined = null_safe_join(rows, design.drop("n_observations"), keys)
+    out = joined.select(
+        *[named[c].alias(c) for c in ("dataset", "comparison_type", "comparison", "group", "selected_family", "operating_threshold")],
+        F.col(group).cast("string").alias("group_value"), F.col("n_pos").alias("n_events"),
+        *[c for c in ("n", "auroc", "auroc_ci_low", "auroc_ci_high", "auprc", "brier", "brier_ci_low", "brier_ci_high")],
+        "calib_intercept", "calib_slope",
+        *[f"calib_{s}_ci_{e}" for s in ("intercept", "slope") for e in ("low", "high")],
+        "calib_status", "calib_slope_valid_replicates", "calib_slope_failed_replicates",
+        F.col("status_counts").alias("calib_replicate_status_counts"), "calib_n_clipped", "ece",
+        F.lit(CI_METHOD).alias("ci_method"), F.lit(float(level)).alias("ci_level"),
+        F.lit(n_boot).alias("n_boot"), "resampling_unit", "resampling_design", "n_resampling_units", "n_units_spanning_subgroups",
+    )
+    return check_columns(out.select(*EXPORT_COLUMNS), EXPORT_COLUMNS)
+
+
+def united_performance(files: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Both reporting tables from the performance files of all comparisons."""
+    if not files:
+        raise RuntimeError("no performance file to report")
+    united = files[0]
+    for f in files[1:]:
+        united = united.unionByName(f)
+    return performance_tables(united, list(PERFORMANCE_COLUMNS), list(CALIBRATION_COLUMNS))
+
+
+class ExportError(RuntimeError):
+    """An export does not hold the evaluated rows."""
+
+
+def with_cluster_tokens(rows: DataFrame, tokens: DataFrame, keys: list[str], cluster: str = "cluster_id") -> DataFrame:
+    """Rows with their cluster's token; a row without a cluster fails the job instead of vanishing."""
+    joined = null_safe_join(rows, tokens, [*keys, cluster], "left")
+    message = F.lit("cluster identifiers are missing for some held-out rows; clustered inference would be unreliable")
+    return joined.withColumn("cluster_token", F.when(F.col("cluster_token").isNull(), F.raise_error(message)).otherwise(F.col("cluster_token")))
+
+
+def require_export(scored: DataFrame, evaluated: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``scored`` itself, after every check of :func:`scored_export` found nothing."""
+    found = scored_export(scored, evaluated, row_id).first().asDict()
+    broken = {k: v for k, v in found.items() if k != "n_rows" and v}
+    if broken:
+        raise ExportError(f"the export differs from the evaluated rows: {broken}")
+    return scored

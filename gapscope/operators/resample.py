@@ -444,6 +444,9 @@ def permutation_group(
     replacement, so it is a multivariate hypergeometric draw from four counts:
     one cell after the other, each given what the former took.
     """
+    # labels of a third group cannot be dealt to two; rows without a label take no part
+    third = F.raise_error(F.lit("permutation_group compares exactly two groups; filter the rows first")).cast("boolean")
+    df = df.where(F.when(F.col(group).isNull(), F.lit(False)).when(F.col(group).isin([a, b]), F.lit(True)).otherwise(third))
     pairs = G.pair_counts(df, keys, group, a, b, y, pred)
     schema = T.StructType(
         [*_key_schema(pairs, keys), T.StructField("replicate", T.IntegerType())]

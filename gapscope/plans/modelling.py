@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import models as L
 from ..operators import permute as PM
 from ..operators import regress as RG
+from ..operators import report as RP
 from ..operators import resample as RS
+from ..operators import resample_design as RD
 from ..operators import splits as S
 from ..operators import metrics as M
 from ..operators.prep import Categorical, DesignSpec
@@ -171,18 +173,43 @@ def _(spark, d):
     )
 
 
-@query("export_performance")
-def _(spark, d):
-    """Overall, A and B rows with bootstrap limits and replicate status counts."""
+def performance_file(spark, d, n_boot: int):
+    """The performance file of the yearly comparison of both segments, clustered by customer."""
     rows, keys = scored_orders(spark, d), ["dataset"]
     kept = rows.where(F.col("subgroup").isin(A_ORD, B_ORD))
-    table, statuses = RS.bootstrap_comparison(
-        kept, keys, "subgroup", A_ORD, B_ORD, cluster="cluster_id", n_boot=REPLICATES
-    )
-    from ..operators.report import performance_rows
+    table, statuses = RS.bootstrap_comparison(kept, keys, "subgroup", A_ORD, B_ORD, cluster="cluster_id", n_boot=n_boot)
+    found = RP.performance_rows(M.overall_and_subgroup(kept, keys), table, statuses, keys, {"a": A_ORD, "b": B_ORD})
+    named = {
+        "dataset": F.col("dataset").cast("string"), "comparison_type": F.lit("segment"), "comparison": F.lit(f"{A_ORD}_vs_{B_ORD}"),
+        "group": F.initcap("subgroup"), "selected_family": F.lit("logistic_regression"), "operating_threshold": F.lit(0.5),
+    }
+    return RP.performance_export(found, RD.bootstrap_design(kept, keys, "subgroup", "cluster_id"), keys, named, n_boot)
 
-    return performance_rows(
-        M.overall_and_subgroup(kept, keys), table, statuses, keys, {"a": A_ORD, "b": B_ORD}
+
+@query("export_performance")
+def _(spark, d):
+    """Overall, A and B rows with bootstrap limits and replicate status counts, all columns of the contract."""
+    return performance_file(spark, d, REPLICATES)
+
+
+PERFORMANCE_POINTS = f"""with {ORD}, k as (select * from ord where subgroup in ('{A_ORD}', '{B_ORD}')),
+    g as (select dataset, 'overall' grp, y_true, prob, cluster_id from k union all select dataset, subgroup, y_true, prob, cluster_id from k),
+    c as (select dataset, grp, count(*)::bigint n, sum(y_true)::bigint n_events, avg((prob - y_true) * (prob - y_true)) brier from g group by 1, 2),
+    u as (select dataset, cluster_id, count(distinct subgroup) s from k group by 1, 2),
+    r as (select dataset, count(*)::bigint n_resampling_units, count_if(s > 1)::bigint n_units_spanning_subgroups from u group by 1)
+    select dataset::varchar dataset, 'segment' comparison_type, '{A_ORD}_vs_{B_ORD}' comparison,
+      upper(grp[1]) || lower(grp[2:]) as "group", grp group_value, n, n_events, 'logistic_regression' selected_family, 0.5::double operating_threshold,
+      auroc, brier, 'percentile' ci_method, 'patient_cluster' resampling_unit, n_resampling_units, n_units_spanning_subgroups
+    from c join ({disc_sql('g', 'dataset, grp')}) x using (dataset, grp) join r using (dataset)"""
+
+
+@query("export_performance_points", PERFORMANCE_POINTS, "operating_threshold auroc brier")
+def _(spark, d):
+    """Everything in the performance files that does not depend on a draw, through both reporting tables."""
+    first, second = RP.united_performance([performance_file(spark, d, 2)])
+    on = ["dataset", "comparison_type", "comparison", "group", "group_value", "n", "n_events", "ci_method", "resampling_unit"]
+    return first.join(second.select(*on, "brier"), on).select(
+        *on, "selected_family", "operating_threshold", "auroc", "brier", "n_resampling_units", "n_units_spanning_subgroups"
     )
 
 

@@ -45,9 +45,7 @@ def scored_table(spark, d):
     """The 12-column exchange table of the two compared segments."""
     rows = scored_orders(spark, d).where(F.col("subgroup").isin(A_ORD, B_ORD))
     tokens = S.dense_cluster_token(rows, ["dataset"])
-    from ..session import null_safe_join
-
-    out = null_safe_join(rows, tokens, ["dataset", "cluster_id"]).select(
+    out = RP.with_cluster_tokens(rows, tokens, ["dataset"]).select(
         F.col("dataset").cast("string").alias("dataset"), F.lit("segment").alias("comparison_type"),
         F.lit(f"{A_ORD}_vs_{B_ORD}").alias("comparison"), F.col("row_id").cast("bigint").alias("row_id"),
         F.col("cluster_token").alias("cluster_id"), "subgroup", F.col("y_true").cast("int").alias("y_true"),

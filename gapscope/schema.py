@@ -22,6 +22,21 @@ FIGURE_COLUMNS = (
     "display_order", "source_result_path",
 )
 
+PERFORMANCE_COLUMNS = (
+    "dataset", "comparison_type", "comparison", "group", "group_value", "n", "n_events", "selected_family",
+    "operating_threshold", "auroc", "auroc_ci_low", "auroc_ci_high", "auprc", "ci_method", "ci_level", "n_boot",
+    "resampling_unit", "resampling_design", "n_resampling_units", "n_units_spanning_subgroups",
+)
+CALIBRATION_COLUMNS = (
+    "dataset", "comparison_type", "comparison", "group", "group_value", "n", "n_events", "brier", "brier_ci_low",
+    "brier_ci_high", "calib_intercept", "calib_intercept_ci_low", "calib_intercept_ci_high", "calib_slope",
+    "calib_slope_ci_low", "calib_slope_ci_high", "calib_status", "calib_slope_valid_replicates",
+    "calib_slope_failed_replicates", "calib_replicate_status_counts", "calib_n_clipped", "ece", "ci_method", "n_boot",
+    "resampling_unit",
+)
+#: Columns of a comparison's performance file: those of both tables.
+EXPORT_COLUMNS = (*PERFORMANCE_COLUMNS, *[c for c in CALIBRATION_COLUMNS if c not in PERFORMANCE_COLUMNS])
+
 _D, _L, _S, _I = T.DoubleType(), T.LongType(), T.StringType(), T.IntegerType()
 
 SCORED_SCHEMA = T.StructType(
