@@ -53,6 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Have the files of exchanges that no live plan refers to removed now.
+
+    Spark removes them when the driver's JVM collects the finished plans, which on a driver with
+    memory to spare may be long after; a job of many stages would keep all its shuffles on disk.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(key: str = "doc_id", parts: int = 5):
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % parts

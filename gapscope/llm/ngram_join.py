@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, register, row_keyed, table, written
+from .common import components, register, released, row_keyed, table, written
 from .textops import Words, mix, span_hash, word_slices, WORD_BASE
 
 #: Share of the hash range in which tokens are counted over the whole corpus.
@@ -214,6 +214,7 @@ def class_links(sets: DataFrame, percent: int, stars: int = 3, tries: int = 3) -
     # at a pair's first common token nothing before it is common, so what is left must be enough
     possible = f"(100 + {percent}) * (1 + least(shared - rank, x.shared - x.rank)) >= {percent} * (size + x.size)"
     postings = written(candidate_lists(sets, percent), "postings")
+    released(sets.sparkSession)
     links = roots = None
     for star in range(stars):
         # first the most central class of each list is its pivot, then ``tries`` random ones, new
@@ -235,6 +236,7 @@ def class_links(sets: DataFrame, percent: int, stars: int = 3, tries: int = 3) -
             .withColumn("r", F.row_number().over(best)).where(F.col("r") <= tries).select("a", "b")
         )
         new = written(verified(pairs, sets, percent), "links")
+        released(sets.sparkSession)
         if not new.limit(1).count():
             break
         links = new if links is None else links.unionByName(new)
@@ -246,6 +248,7 @@ def class_links(sets: DataFrame, percent: int, stars: int = 3, tries: int = 3) -
         .where("roots > 1").select("token", F.col("main.root").alias("main"))
     )
     opened = written(rows.join(spread, "token"), "opened")
+    released(sets.sparkSession)
     outside = opened.where("root <> main").select("token", F.struct("class", "size", "shared", "rank", "root").alias("x"))
     pairs = (
         outside.join(opened, "token")
@@ -275,8 +278,10 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, region: float =
         .groupBy("class").agg(F.min("_row").alias("_row")),
         "alive",
     )
+    released(docs.sparkSession)
     first = docs.select("_row", "text").join(alive.select("_row"), "_row").select(F.col("_row").alias("class"), "text")
     sets = written(class_sets(first, n), "sets")
+    released(docs.sparkSession)
     linked = components(class_links(sets, percent)).withColumnRenamed("node", "_row")
     roots = alive.join(linked, "_row", "left").select("class", F.coalesce("root", "_row").alias("root"))
     # a class that is not alive holds a token of its own, so it has one row
