@@ -271,6 +271,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bo
     return ids.join(both.mapInArrow(scan, schema), "_row").drop("_row")
 
 
-@register("op6_de_bruijn_substring_dedup")
+REPEATS_SQL = r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+p as (select doc_id, len(w) n, unnest(range(1, len(w) + 1)) i, unnest(w) x from d),
+m as (select doc_id, i, x, case when i + 34 <= n then string_agg(x, ' ') over (
+  partition by doc_id order by i rows between current row and 34 following) end span from p),
+q as (select doc_id, i, x, span is not null and count(*) over (partition by span) > 1 again from m),
+c as (select doc_id, i, x, max(again::int) over (partition by doc_id order by i rows between 34 preceding and current row) = 1 gone from q),
+g as (select doc_id, count_if(gone)::bigint n_removed, string_agg(x, ' ' order by i) filter (not gone) kept from c group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256
+from d left join g using (doc_id)"""
+
+
+@register("op6_de_bruijn_substring_dedup", REPEATS_SQL)
 def op6(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents"))

@@ -302,6 +302,21 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
 
 
-@register("op9_ngram_jaccard_join")
+GROUPS_SQL = r"""with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') w from documents),
+x as (select doc_id, len(w) m, unnest(range(1, len(w) + 1)) i, unnest(w) x from w),
+t as (select distinct doc_id, t from (select doc_id, case when m >= 5 then x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' '
+    || lead(x, 3) over o || ' ' || lead(x, 4) over o when i = 1 then string_agg(x, ' ') over (partition by doc_id) end t from x
+    window o as (partition by doc_id order by i)) q where t is not null),
+n as (select w.doc_id, count(t)::bigint n from w left join t on w.doc_id = t.doc_id group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from t a join t b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id a, doc_id b from n union select r.a, e.b from r join e on r.b = e.a)
+select doc_id, n n_shingles, component_id from n join (select a doc_id, min(b) component_id from r group by a) g using (doc_id)"""
+
+
+@register("op9_ngram_jaccard_join", GROUPS_SQL)
 def op9(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -109,6 +109,37 @@ def repetition(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, ", ".join(f"{a} {b}" for a, b in FIELDS))
 
 
-@register("op5_repetition_coverage")
+def _repetition_sql() -> str:
+    """All columns by windows over the words of a text."""
+    counts = ", ".join(f"coalesce(sum(length(x)) filter (in_{n}), 0)::bigint dup_chars_{n}" for n in GRAM_LIMITS)
+    inside = ", ".join(
+        # a word is covered if a repeated window starts at it or up to n - 1 words before
+        f"coalesce(max(twice_{n}::int) over (partition by doc_id order by i rows between {n - 1} preceding and current row), 0) = 1 in_{n}"
+        for n in GRAM_LIMITS
+    )
+    grams = ", ".join("x || ' ' || " + " || ' ' || ".join(f"lead(x, {k}) over o" for k in range(1, n)) + f" gram_{n}" for n in GRAM_LIMITS)
+    twice = ", ".join(f"gram_{n} is not null and count(*) over (partition by doc_id, gram_{n}) > 1 twice_{n}" for n in GRAM_LIMITS)
+    kept = " and ".join(f"dup_chars_{n} <= {limit!r}::double * word_chars" for n, limit in GRAM_LIMITS.items())
+    word = r"'[^\x20\x09-\x0D]+'"
+    return f"""with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), {word}) w from documents),
+p as (select doc_id, unnest(range(1, len(w) + 1)) i, unnest(w) x from d),
+m as (select doc_id, i, x, {grams} from p window o as (partition by doc_id order by i)),
+q as (select doc_id, i, x, {twice} from m),
+c as (select doc_id, x, {inside} from q),
+g as (select doc_id, count(*)::bigint n_words, sum(length(x))::bigint word_chars, count_if(in_5)::bigint n_repeat_words, {counts} from c group by doc_id),
+ls as (select doc_id, unnest(string_split(t, chr(10))) line, unnest(range(len(string_split(t, chr(10))))) k from d),
+lw as (select doc_id, row_number() over (partition by doc_id, line order by k) > 1 again, length(array_to_string(regexp_extract_all(line, {word}), '')) chars
+  from ls where len(regexp_extract_all(line, {word})) > 0),
+lg as (select doc_id, count_if(again)::bigint n_dup_lines, coalesce(sum(chars) filter (again), 0)::bigint dup_line_chars from lw group by doc_id),
+j as (select d.doc_id, coalesce(n_words, 0)::bigint n_words, coalesce(word_chars, 0)::bigint word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, coalesce(n_dup_lines, 0)::bigint n_dup_lines,
+  coalesce(n_repeat_words, 0)::bigint n_repeat_words, coalesce(dup_line_chars, 0)::bigint dup_line_chars,
+  {", ".join(f"coalesce(dup_chars_{n}, 0)::bigint dup_chars_{n}" for n in GRAM_LIMITS)}
+  from d left join g on d.doc_id = g.doc_id left join lg on d.doc_id = lg.doc_id)
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and dup_line_chars <= {LINE_LIMIT!r}::double * word_chars and {kept} kept from j"""
+
+
+@register("op5_repetition_coverage", _repetition_sql())
 def op5(spark, sf_dir):
     return repetition(table(spark, sf_dir, "documents"))
