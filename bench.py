@@ -18,7 +18,7 @@ HEADLINE = (
     "split_grouped", "kfold_stratified_group", "fit_medians", "transform_impute_onehot",
     "dense_cluster_token", "meta_random_effects", "bh_fdr", "run_diff", "bootstrap_gap",
     "bootstrap_auroc", "cluster_vs_naive", "permutation_group", "calibration_fit",
-    "case_mix_waterfall", "recalibrate",
+    "case_mix_waterfall", "error_waterfall_fn", "recalibrate", "balanced_training", "model_pool",
 )
 
 

@@ -66,6 +66,7 @@ class Fit:
     n: int = 0
     events: float = 0.0
     status: str = "running"
+    spread: np.ndarray = None  # population sd of each column over the fit's rows
     shift: np.ndarray = None
     scale: np.ndarray = None
     beta: np.ndarray = None
@@ -253,14 +254,15 @@ def _starts(rows: DataFrame, keys: list[str], models: list[Model], columns: list
         fit = Fit(tuple(r[k] for k in keys), model, columns, r["_n"], r["_events"] or 0.0)
         size = len(columns) + 1
         fit.shift, fit.scale, fit.beta = np.zeros(size), np.ones(size), np.zeros(size)
+        fit.spread = np.array([0.0, *[r[f"_sd{i}"] if r[f"_sd{i}"] is not None else math.nan for i in range(1, size)]])
         for i, c in enumerate(columns, 1):
             if c in model.standardise:
                 fit.shift[i], fit.scale[i] = r[f"_mean{i}"] or 0.0, r[f"_sd{i}"] or 1.0
         moments = [r[f"_mean{1 + columns.index(t)}"] for t in model.terms]
-        if not all(m is not None and math.isfinite(m) for m in moments):
-            fit.status = "nonfinite_predictor"
-        elif not r["_total"] or fit.events <= 0 or fit.events >= r["_total"]:
+        if not r["_total"] or fit.events <= 0 or fit.events >= r["_total"]:
             fit.status = "one_class"
+        elif not all(m is not None and math.isfinite(m) for m in moments):
+            fit.status = "nonfinite_predictor"
         else:
             share = fit.events / r["_total"]
             fit.beta[0] = math.log(share / (1.0 - share))

@@ -27,12 +27,14 @@ from ..functions.columns import (
     LOGIT_EPS,
     PREVALENCE_SENSITIVE,
     at_prevalence,
+    clipped_logit,
     count_where,
     ratio,
 )
 from ..session import ensure_checkpoint_dir, null_safe_join, sized_broadcast
 from . import gaps as G
 from .intervals import percentile_interval
+from .irls import Model, fit_all
 from .ranking import in_ranges, prefix_sums
 
 SIDES = tuple(f"{c}_{s}" for s in "ab" for c in COUNTS)
@@ -877,17 +879,32 @@ def _newton_step(state: DataFrame, sums: DataFrame, keys: list[str]) -> DataFram
     )
 
 
+# Names of the states of a calibration fit.
+CALIBRATION_STATUS = {
+    "ok": "ok", "one_class": "single_class", "no_rows": "single_class", "nonfinite_predictor": "nonfinite_predictor",
+    "separation": "separation", "singular": "singular_information_matrix", "not_converged": "not_converged",
+}
+
+
 def calibration_fit(
     df: DataFrame, keys: list[str], y: str = "y_true", prob: str = "prob"
 ) -> DataFrame:
-    """Calibration intercept and slope per group, with an explicit status."""
-    one = df.withColumn("_all", F.lit("all")).withColumn("_zero", F.lit(0))
-    packed = weighted_cells_by_row(one, keys, "_all", "all", "none", 0, 0, y, prob, "_zero").persist()
-    fit = calibration_replicates(packed, keys, 0).where("scope = 'a'")
-    return fit.select(
-        *keys, F.col("intercept").alias("calib_intercept"), F.col("slope").alias("calib_slope"),
-        F.col("status").alias("calib_status"),
-    )
+    """Calibration intercept and slope per group, with an explicit status.
+
+    All groups are fitted together from their counted (score, outcome) cells. A score that is NULL
+    or NaN makes its group ``nonfinite_predictor``, equal scores ``degenerate_predictor``.
+    """
+    p = F.col(prob).cast("double")
+    x = F.when(p.isNull() | F.isnan(p), F.lit(math.nan)).otherwise(clipped_logit(prob))
+    cells = df.groupBy(*keys, x.alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").cast("double").alias("_n")).persist()
+    fits = fit_all(cells, keys, [Model("calibration", ("_x",), "_y", weight="_n")])
+    rows = []
+    for f in fits.fits:
+        constant = f.status == "singular" and f.spread is not None and f.spread[1] == 0.0
+        rows.append((*f.key, f.estimate(), f.estimate("_x"), "degenerate_predictor" if constant else CALIBRATION_STATUS[f.status]))
+    cells.unpersist()
+    schema = T.StructType([*_key_schema(df, keys), *T.StructType.fromDDL("calib_intercept double, calib_slope double, calib_status string").fields])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def bootstrap_comparison(

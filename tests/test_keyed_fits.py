@@ -185,3 +185,16 @@ def test_trees_split_as_counted_by_hand():
     assert base == pytest.approx(0.0, abs=1e-12) and trees[0].leaf_values(bins)[0] == pytest.approx(-0.1 * 8.5 / (19 * 0.25 + 1))
     both = TR.unpacked(TR.packed([tree, *trees]))
     assert (TR.value_sums(both, bins) == tree.leaf_values(bins) + trees[0].leaf_values(bins)).all()
+
+
+def test_a_missing_score_is_a_status_of_its_group(spark):
+    from gapscope.operators.resample import calibration_fit
+
+    rng = np.random.default_rng(2)
+    rows = [(k, float(p), int(rng.uniform() < p)) for k in ("good", "null", "nan") for p in rng.uniform(0.05, 0.95, 200)]
+    rows += [("null", None, 1), ("nan", float("nan"), 0), ("flat", 0.4, 1), ("flat", 0.4, 0)]
+    got = {r["k"]: r for r in calibration_fit(spark.createDataFrame(rows, "k string, prob double, y_true int"), ["k"]).collect()}
+    assert {k: r["calib_status"] for k, r in got.items()} == {
+        "good": "ok", "null": "nonfinite_predictor", "nan": "nonfinite_predictor", "flat": "degenerate_predictor",
+    }
+    assert got["null"]["calib_slope"] is None and got["good"]["calib_slope"] > 0
