@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by collision counting over single-projection sorted arrays.
 
 Largest inner product becomes smallest distance by one more coordinate: x -> (x, sqrt(M^2 - |x|^2)),
-q -> (q, 0) scaled to length M, with M the largest length in the table. Every vector is projected on
-``PROJECTIONS`` random lines and each block of the index keeps one sorted array per line. A query
+q -> (q, 0) scaled to length M, with M the largest length among vectors of like length: a block keeps
+an index for every octave of lengths, since beside one long vector all others would look alike, and
+each is searched. Every vector is projected on ``PROJECTIONS`` random lines and an index keeps one
+sorted array per line. A query
 opens a window centred on its own projection in every array and widens all of them by the same
 factor (virtual rehashing), until enough vectors have collided with it in ``THRESHOLD`` of the
 arrays; all those vectors are then verified by their exact inner product.
@@ -26,35 +28,44 @@ PROJECTIONS = 64
 THRESHOLD = 0.7
 START = 0.7  # half width of a block's first windows, in standard deviations of the projections
 GROWTH = 1.06
-#: Windows widen until this share of a block, and 16 times the neighbours asked for, has collided enough.
-SHARE = 0.25
+#: Windows widen until this share of a block's octave, and so many vectors a neighbour asked for, have collided enough.
+SHARE, LEAST_A_RANK = 0.45, 16
 BLOCK = 16_384
 QUERIES_A_BLOCK = 2_048
 
 
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, scaled first so that squares neither overflow nor vanish."""
+    top = np.abs(vectors).max(axis=1)
+    return top * np.sqrt(((vectors / np.where(top > 0, top, 1.0)[:, None]) ** 2).sum(axis=1))
+
+
 class SortedLines:
-    """The index of one block."""
+    """The index of the vectors of a block whose lengths lie within a factor of two.
+
+    Vectors are divided by the longest and get one more coordinate that makes all lengths one, so
+    that the largest inner product is the nearest point.
+    """
 
-    def __init__(self, vectors: np.ndarray, longest: float):
+    def __init__(self, vectors: np.ndarray, lengths: np.ndarray):
         rng = np.random.default_rng(5)
-        self.vectors, self.longest = vectors, longest
+        unit = vectors / lengths.max()
+        self.size = len(vectors)
         self.lines = rng.standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
-        at = (vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]).T
+        rest = np.sqrt(np.maximum(1.0 - (unit**2).sum(axis=1), 0))
+        at = (unit @ self.lines[:-1] + rest[:, None] * self.lines[-1]).T
         order = np.argsort(at, axis=1, kind="stable")
         self.values = np.take_along_axis(at, order, axis=1)
         # each vector's place in each array: it lies in a window if its place does
         self.places = np.empty(order.shape, dtype=np.uint16 if len(vectors) < 1 << 16 else np.uint32)
         np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=self.places.dtype)[None, :], axis=1)
-        self.scale = longest
 
     def candidates(self, queries: np.ndarray, k: int):
         """For each query the vectors that collide with it in enough arrays."""
-        lengths = np.sqrt((queries**2).sum(axis=1))
-        at = (queries / lengths[:, None] * self.longest) @ self.lines[:-1]
-        n, need = self.vectors.shape[0], int(np.ceil(THRESHOLD * PROJECTIONS))
-        wanted = min(n, max(16 * k, int(SHARE * n)))
-        width, result = START * self.scale, []
+        at = (queries / lengths_of(queries)[:, None]) @ self.lines[:-1]
+        n, need = self.size, int(np.ceil(THRESHOLD * PROJECTIONS))
+        wanted = min(n, max(LEAST_A_RANK * k, int(SHARE * n)))
+        width, result = START, []
         for q in range(len(queries)):
             while True:
                 lo = np.array([v.searchsorted(x - width, "left") for v, x in zip(self.values, at[q])])
@@ -64,7 +75,7 @@ class SortedLines:
                     kind = self.places.dtype
                     inside = self.places - lo.astype(kind)[:, None] < (hi - lo).astype(kind)[:, None]
                     found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
-                if len(found) >= wanted:
+                if len(found) >= wanted or (hi - lo).min() == n:
                     break
                 width *= GROWTH
             result.append(found)
@@ -83,12 +94,8 @@ def search(vectors: DataFrame, query: F.Column, k: int = 20, block: int = BLOCK)
         .where(usable + " and exists(embedding, x -> x <> 0)")
         .withColumn("dim", F.size("embedding"))
     )
-    about = rows.agg(
-        F.count("*").alias("n"), F.count_if("is_query").alias("q"),
-        F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("m"),
-    ).first()
+    about = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     blocks, groups = max(1, -(-about["n"] // block)), max(1, -(-about["q"] // QUERIES_A_BLOCK))
-    longest = float(np.sqrt(about["m"] or 1.0))
     place = lambda salt, n: F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     index = rows.select("dim", place(1, blocks).alias("block"), every(groups).alias("part"), "_row", "vec_id", "embedding")
@@ -100,8 +107,14 @@ def search(vectors: DataFrame, query: F.Column, k: int = 20, block: int = BLOCK)
         if len(queries) and len(data):
             x, q = np.stack(data["embedding"].to_numpy()), np.stack(queries["embedding"].to_numpy())
             ids, own = data["vec_id"].to_numpy(), data["_row"].to_numpy()
-            lines = SortedLines(x, longest)
-            for i, found in enumerate(lines.candidates(q, k)):
+            lengths = lengths_of(x)
+            octave = np.frexp(lengths)[1]
+            near = [np.zeros(0, dtype=np.int64)] * len(q)
+            for o in np.unique(octave):  # every octave of lengths is searched
+                here = np.flatnonzero(octave == o)
+                for i, found in enumerate(SortedLines(x[here], lengths[here]).candidates(q, k)):
+                    near[i] = np.concatenate((near[i], here[found]))
+            for i, found in enumerate(near):
                 found = found[own[found] != queries["_row"].iloc[i]]
                 scores = x[found] @ q[i]
                 if len(found) > k:
