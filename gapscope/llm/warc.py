@@ -101,15 +101,16 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file of one or more members."""
-    unzip = zlib.decompressobj(31)
+    """The inflated bytes of a gzip file of one or more members; one that ends early is an error."""
+    unzip, started = zlib.decompressobj(31), False
     while raw := stream.read(CHUNK):
+        started = True
         while raw:
-            yield unzip.decompress(raw)
-            raw = unzip.unused_data
             if unzip.eof:
                 unzip = zlib.decompressobj(31)
-    if unzip.decompress(b"") or not unzip.eof and unzip.unconsumed_tail:
+            yield unzip.decompress(raw)
+            raw = unzip.unused_data
+    if started and not unzip.eof:
         raise ValueError("the gzip stream is cut off")
 
 

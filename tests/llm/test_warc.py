@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gapscope.llm import warc
@@ -52,3 +53,21 @@ def test_table(spark):
 
 def test_empty_table(spark):
     assert run(spark, [])[1] == []
+
+
+class Parts:
+    def __init__(self, data):
+        self.data = data
+
+    def read(self, n):
+        out, self.data = self.data[:n], self.data[n:]
+        return out
+
+
+def test_a_cut_stream_is_an_error():
+    whole = gzip.compress(b"a" * 50_000) + gzip.compress(b"second")
+    assert b"".join(warc.inflated(Parts(whole))) == b"a" * 50_000 + b"second" and list(warc.inflated(Parts(b""))) == []
+    first = len(gzip.compress(b"a" * 50_000))
+    for cut in (1, first - 8, first - 1, first + 3, len(whole) - 8, len(whole) - 1):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.inflated(Parts(whole[:cut])))
