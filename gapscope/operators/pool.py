@@ -242,12 +242,13 @@ def fit_pool(
     own = F.lit(-2) if fold is None else F.col(fold).cast("int")
     rows = rows.withColumn("_own", own).persist()
     members = _members(families)
-    pool = Pool(spec, models, families, cut_points(train, spec.numeric, settings.bins), levels, None, None, {})
+    grown = [m for m in members if m not in LINEAR and m != "vote_logistic"]
+    cuts = cut_points(train, spec.numeric, settings.bins) if grown else {f: [] for f in spec.numeric}
+    pool = Pool(spec, models, families, cuts, levels, None, None, {})
     pool.null_bins = np.array([
         [int(np.searchsorted(pool.cuts[f], medians[k].get(f, 0.0), side="left")) for f in spec.numeric] + [0] * len(levels) for k in models
     ]).reshape(len(models), -1)
     pool.linear = _fit_linear(rows, spec, levels, seen, medians, models, [m for m in members if m in LINEAR or m == "vote_logistic"], y)
-    grown = [m for m in members if m not in LINEAR and m != "vote_logistic"]
     if grown:
         marks = [-2] if fold is None else models
         cells, counts = counted_cells(rows, bin_columns(spec, pool.cuts, levels), marks, F.col("_own"), y, settings.max_cells)
