@@ -15,17 +15,21 @@ from ..operators import metrics as M
 from ..operators.prep import Categorical, DesignSpec
 from ..functions.tails import Z975
 from ..session import scratch_folder
+from .comparison import POOLED, pooled_sql
 from .registry import (
     A_LINE,
     A_ORD,
     B_LINE,
     B_ORD,
+    GAP_ROW_NAMES,
     LINE,
     ORD,
     disc_sql,
+    gap_row_sql,
     query,
     scored_lineitem,
     scored_orders,
+    wide_sql,
 )
 
 REPLICATES = 1000
@@ -477,7 +481,8 @@ def isotonic_sql(name: str, source: str) -> str:
         from {name}_p) q group by dataset, hi)"""
 
 
-def recalibrate_sql() -> str:
+def recalibrated_sql() -> str:
+    """CTEs up to ``al``: (strategy, subgroup, r, y_true) of every test row."""
     units = lambda t: f"(select 'pooled' dataset, * from {t} union all select subgroup, * from {t})"
     platt = newton_sql("pl", "us", "y", ["x"], 1.0)
     x = "ln(least(greatest(prob, 1e-6::double), 1 - 1e-6::double) / (1 - least(greatest(prob, 1e-6::double), 1 - 1e-6::double)))"
@@ -491,11 +496,14 @@ def recalibrate_sql() -> str:
         join pl using (dataset)),
       al as (select 'uncalibrated' strategy, subgroup, prob r, y_true from sc where dataset = 'pooled'
         union all select case when dataset = 'pooled' then 'pooled_isotonic' else 'group_isotonic' end, subgroup, iso_p, y_true from sc
-        union all select case when dataset = 'pooled' then 'pooled_platt' else 'group_platt' end, subgroup, platt_p, y_true from sc)
-      select strategy, subgroup, count(*)::bigint n, avg(r) mean_score, avg(y_true) event_rate from al group by all"""
+        union all select case when dataset = 'pooled' then 'pooled_platt' else 'group_platt' end, subgroup, platt_p, y_true from sc)"""
 
 
-@query("recalibrate", recalibrate_sql(), "mean_score event_rate")
+@query(
+    "recalibrate",
+    f"{recalibrated_sql()} select strategy, subgroup, count(*)::bigint n, avg(r) mean_score, avg(y_true) event_rate from al group by all",
+    "mean_score event_rate",
+)
 def _(spark, d):
     train, test = train_test(spark, d)
     return L.recalibrate(train, test, "subgroup", A_ORD, B_ORD).groupBy("strategy", "subgroup").agg(
@@ -503,7 +511,19 @@ def _(spark, d):
     )
 
 
-@query("recalibration_table")
+def gap_rows_sql(source: str, key: str) -> str:
+    """Gap rows of the two segments by ``key``, from (key, subgroup, y_true, prob, pred)."""
+    return f"""select * from (select {key}, {gap_row_sql()} from ({wide_sql(source, key, 'subgroup', A_ORD, B_ORD)}) ww) g
+      join ({pooled_sql(source, key)}) p using ({key})"""
+
+
+@query(
+    "recalibration_table",
+    f"""{recalibrated_sql()}, rc as (select strategy, subgroup, y_true, r prob, (r >= 0.5)::int pred from al where r is not null)
+    {gap_rows_sql('rc', 'strategy')}""",
+    GAP_ROW_NAMES + " " + POOLED,
+    4,
+)
 def _(spark, d):
     train, test = train_test(spark, d)
     scored = L.recalibrate(train, test, "subgroup", A_ORD, B_ORD)
@@ -544,7 +564,16 @@ def _(spark, d):
     )
 
 
-@query("null_models")
+NULL_MODELS_SQL = f"""with recursive {FOLDED}, tr as (select 'all' dataset, y_true, prob, price / 1000.0 price_k, balance / 1000.0 balance_k from train),
+    {newton_sql('n1', 'tr', 'y_true', ['prob'], 1.0)}, {newton_sql('n2', 'tr', 'y_true', ['price_k', 'balance_k'], 1.0)},
+    sc as (select 'intercept_only' model, subgroup, y_true, (select avg(y_true) from train) prob from test
+      union all select 'single_feature', subgroup, y_true, 1 / (1 + exp(-(b0 + b1 * prob))) from test, n1
+      union all select 'simple_baseline', subgroup, y_true, 1 / (1 + exp(-(b0 + b1 * (price / 1000.0) + b2 * (balance / 1000.0)))) from test, n2
+      union all select 'random_score', subgroup, y_true, ('0x' || md5('42|' || row_id)[1:13])::bigint / 4503599627370496.0::double from test),
+    sp as (select *, (prob >= 0.4::double)::int pred from sc) {gap_rows_sql('sp', 'model')}"""
+
+
+@query("null_models", NULL_MODELS_SQL, GAP_ROW_NAMES + " " + POOLED, 4)
 def _(spark, d):
     train, test = train_test(spark, d)
     return L.null_models(
