@@ -400,22 +400,27 @@ FOLDED = f"""{ORD}, r as (select * from ord where subgroup in ('{A_ORD}', '{B_OR
     folded as (select train.*, fold, (status = 'O')::int o, (status = 'P')::int p from train join cf using (cluster_id))"""
 
 
-def cv_linear_sql() -> str:
-    """Ridge regression of every fold on the other folds' z-scores, and the AUROC of the fold's own rows."""
-    terms = ["prob", "price", "balance", "o", "p"]
-    stats = ", ".join(f"avg({t}) m_{t}, coalesce(nullif(stddev_pop({t}), 0), 1) s_{t}" for t in terms)
-    z = ", ".join(f"({t} - m_{t}) / s_{t} z_{t}" for t in terms)
-    link = " + ".join(["b0", *[f"b{i} * (({t} - m_{t}) / s_{t})" for i, t in enumerate(terms, 1)]])
+LINEAR_TERMS = ("prob", "price", "balance", "o", "p")
+FOLD_LINK = " + ".join(["b0", *[f"b{i} * (({t} - m_{t}) / s_{t})" for i, t in enumerate(LINEAR_TERMS, 1)]])
+
+
+def fold_fits_sql() -> str:
+    """CTEs ``st`` and ``lr``: every fold's moments and ridge regression over the other folds' rows."""
+    stats = ", ".join(f"avg({t}) m_{t}, coalesce(nullif(stddev_pop({t}), 0), 1) s_{t}" for t in LINEAR_TERMS)
+    z = ", ".join(f"({t} - m_{t}) / s_{t} z_{t}" for t in LINEAR_TERMS)
     return f"""with recursive {FOLDED}, parts as (select folded.* exclude (dataset), k dataset from folded, generate_series(0, 4) g(k) where k <> fold),
       st as (select dataset, {stats} from parts group by dataset),
       zs as (select dataset, y_true, {z} from parts join st using (dataset)),
-      {newton_sql("lr", "zs", "y_true", [f"z_{t}" for t in terms], 1.0)},
-      held as (select fold, y_true, 1 / (1 + exp(-({link}))) prob from folded join lr on fold = lr.dataset join st on fold = st.dataset),
-      n as (select fold, count(*)::bigint n from held group by fold)
-      select fold, n, auroc from n join ({disc_sql('held', 'fold')}) x using (fold)"""
+      {newton_sql("lr", "zs", "y_true", [f"z_{t}" for t in LINEAR_TERMS], 1.0)}"""
+
+
+CV_LINEAR_SQL = f"""{fold_fits_sql()},
+    held as (select fold, y_true, 1 / (1 + exp(-({FOLD_LINK}))) prob from folded join lr on fold = lr.dataset join st on fold = st.dataset),
+    n as (select fold, count(*)::bigint n from held group by fold)
+    select fold, n, auroc from n join ({disc_sql('held', 'fold')}) x using (fold)"""
 
 
-@query("cv_linear", cv_linear_sql(), "auroc")
+@query("cv_linear", CV_LINEAR_SQL, "auroc")
 def _(spark, d):
     """Held-out rows and AUROC of each fold of the logistic family."""
     train, _test = folded_train(spark, d)
@@ -464,13 +469,6 @@ def _(spark, d):
     return L.select_best(scores, ["dataset"], order=order)
 
 
-@query("isotonic_fold_ensemble")
-def _(spark, d):
-    train, test = folded_train(spark, d)
-    ensemble = L.isotonic_fold_ensemble(train, SPEC, "logistic_regression", settings=POOL)
-    return ensemble.score(test, "prob_calibrated").select("row_id", "subgroup", "y_true", "prob_calibrated")
-
-
 def isotonic_sql(name: str, source: str) -> str:
     """CTE ``name``: (dataset, s, v) of the isotonic fit by the min-max formula, from (dataset, s, y) of ``source``."""
     return f"""{name}_c as (select *, sum(w) over (partition by dataset order by s) cw, sum(t) over (partition by dataset order by s) ct
@@ -481,6 +479,26 @@ def isotonic_sql(name: str, source: str) -> str:
         from {name}_p) q group by dataset, hi)"""
 
 
+ENSEMBLE_SQL = f"""{fold_fits_sql()},
+    hs as (select fold dataset, {FOLD_LINK} s, y_true y from folded join lr on fold = lr.dataset join st on fold = st.dataset),
+    {isotonic_sql('iso', 'hs')},
+    ts as (select lr.dataset, row_id, subgroup, y_true, {FOLD_LINK} s from (select * exclude (dataset), (status = 'O')::int o, (status = 'P')::int p from test) t, lr
+      join st on lr.dataset = st.dataset),
+    lo as (select ts.dataset, ts.row_id, iso.s s0, iso.v v0 from ts asof join iso on ts.dataset = iso.dataset and ts.s >= iso.s),
+    hi as (select ts.dataset, ts.row_id, iso.s s1, iso.v w1 from ts asof join iso on ts.dataset = iso.dataset and ts.s <= iso.s)
+    select row_id, subgroup, y_true, avg(case when s0 is null then w1 when s1 is null or s1 = s0 then v0 else v0 + (w1 - v0) * (s - s0) / (s1 - s0) end) prob_calibrated
+    from ts left join lo using (dataset, row_id) left join hi using (dataset, row_id) group by row_id, subgroup, y_true"""
+
+
+@query("isotonic_fold_ensemble", ENSEMBLE_SQL, "prob_calibrated")
+def _(spark, d):
+    """All folds' regressions from one iteration over the rows, all folds' isotonic maps from one job."""
+    train, test = folded_train(spark, d)
+    pool = L.fit_pool(train, SPEC, ("logistic_regression",), fold="fold", settings=POOL)
+    scored = L.calibrated_scores(train, test, pool, ["subgroup", "y_true"])
+    return scored.select("row_id", "subgroup", "y_true", F.col("prob").alias("prob_calibrated"))
+
+
 def recalibrated_sql() -> str:
     """CTEs up to ``al``: (strategy, subgroup, r, y_true) of every test row."""
     units = lambda t: f"(select 'pooled' dataset, * from {t} union all select subgroup, * from {t})"
