@@ -24,7 +24,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import clipped_logit, hash_uniform
 from ..session import ensure_checkpoint_dir

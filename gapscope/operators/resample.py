@@ -26,9 +26,7 @@ from ..functions.columns import (
     COUNTS,
     LOGIT_EPS,
     PREVALENCE_SENSITIVE,
-    at_prevalence,
     clipped_logit,
-    count_where,
     ratio,
 )
 from ..session import ensure_checkpoint_dir, null_safe_join, sized_broadcast
