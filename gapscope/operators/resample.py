@@ -41,6 +41,8 @@ BUCKET_MEMBERS = 2048
 FAN_OUT = 256
 #: Distinct scores ranked in one task, and cells of clusters weighted in one task.
 RANKED, WEIGHTED = 50_000, 50_000
+#: Distinct cells whose weight vectors a task may hold together, and tasks whose vectors meet in one.
+HELD, MERGED = 8192, 8
 MAX_BROADCAST_FITS = 64
 RATE_GAPS = (
     "sensitivity", "specificity", "fpr", "fnr", "ppv", "npv", "predicted_positive_rate",
@@ -147,20 +149,18 @@ def _parent() -> Column:
     return F.floor(F.col("_node") / F.lit(FAN_OUT)).cast("long").alias("_node")
 
 
-def _cluster_buckets(clusters: DataFrame, keys: list[str], cluster: str) -> DataFrame:
-    """Hash buckets small enough that one task can hold a bucket's weight matrix."""
+def _cluster_bucket(clusters: DataFrame, keys: list[str], cluster: str) -> Column:
+    """Hash bucket of a cluster, small enough that one task can hold a bucket's weight matrix."""
     largest = clusters.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     buckets = max(1, -(-int(largest) // BUCKET_MEMBERS))
-    return clusters.withColumn(
-        "_cb", F.pmod(F.xxhash64(F.col(cluster).cast("string")), F.lit(buckets)).cast("int")
-    )
+    return F.pmod(F.xxhash64(F.col(cluster).cast("string")), F.lit(buckets)).cast("int")
 
 
 def _cluster_draws(
     clusters: DataFrame, keys: list[str], cluster: str, n_boot: int, seed: int
 ) -> tuple[DataFrame, DataFrame]:
     """Clusters (one row each) with their bucket, and the draws per bucket."""
-    marked = _cluster_buckets(clusters, keys, cluster)
+    marked = clusters.withColumn("_cb", _cluster_bucket(clusters, keys, cluster))
     masses = marked.groupBy(*keys, "_cb").agg(F.count("*").alias("_m"))
     return marked, _bucket_draws(masses, keys, "_cb", "_m", n_boot, seed)
 
@@ -510,6 +510,8 @@ def null_distribution(null: DataFrame, keys: list[str], n_perm: int) -> DataFram
 # --- replicates of scores: AUROC, Brier, calibration from the same draws ---------------
 
 CELL = ["_side", "_prob", "_pred", "_y"]
+#: What a weight vector belongs to, within a comparison.
+WEIGHED = ["_b", *CELL]
 
 
 def _cells(
@@ -601,72 +603,115 @@ def weighted_cells_by_row(
     )
 
 
-def weighted_cells_by_cluster(
+def cluster_weight_sums(
     df: DataFrame, keys: list[str], group: str, a, b, cluster: str, n_boot: int, seed: int,
     y: str, prob: str, pred: str,
 ) -> DataFrame:
-    """Cluster bootstrap weights of score cells.
+    """Cluster bootstrap weights of score cells, at most ``MERGED`` vectors to be added a cell.
 
     Every cluster has one multiplicity per replicate. They are drawn, bucket by bucket of clusters,
-    in the tasks that hold the buckets' cells; only one weight vector per distinct cell leaves a task.
+    in the tasks that hold the buckets' cells. A task holds as many buckets as their rows allow and
+    sends one weight vector per distinct cell; vectors of ``MERGED`` tasks are added at a time, so
+    what is shuffled and held grows with distinct cells, not with buckets.
     """
-    cells = _score_buckets(
-        _cells(df, keys, group, a, b, y, prob, pred, [cluster]).persist(StorageLevel.MEMORY_AND_DISK),
-        keys,
-    )
+    counted = _cells(df, keys, group, a, b, y, prob, pred, [cluster]).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = _score_buckets(counted, keys)
     clusters = cells.select(*keys, cluster).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    marked, draws = _cluster_draws(clusters, keys, cluster, n_boot, seed)
-    inside = Window.partitionBy(*keys, "_cb")
-    placed = marked.withColumn("_ci", F.row_number().over(inside.orderBy(cluster)) - 1).withColumn("_cn", F.count("*").over(inside))
-    rows = null_safe_join(cells, placed, [*keys, cluster]).drop(cluster)
-    # a bucket with many cells (a cluster may hold most rows) is weighted in several tasks
-    shares = rows.groupBy(*keys, "_cb").agg(F.ceil(F.count("*") / F.lit(WEIGHTED)).cast("int").alias("_shares")).persist()
-    cut = null_safe_join(rows, sized_broadcast(shares), [*keys, "_cb"]).withColumn(
-        "_share", F.pmod(F.xxhash64("_b", *CELL, "_ci"), F.col("_shares")).cast("int")
-    )
-    draws_of = null_safe_join(draws, shares, [*keys, "_cb"]).withColumn(
+    bucket = _cluster_bucket(clusters, keys, cluster)
+    inside = Window.partitionBy(*keys, "_cb").orderBy(cluster)
+    rows = cells.withColumn("_cb", bucket).withColumn("_ci", F.dense_rank().over(inside) - 1).drop(cluster).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    sizes = rows.groupBy(*keys, "_cb").agg((F.max("_ci") + 1).cast("long").alias("_m"), F.count("*").alias("_rows")).persist()
+    draws = _bucket_draws(sizes, keys, "_cb", "_m", n_boot, seed)
+    clusters.unpersist()
+    # buckets of a task, and tasks that share a bucket with many cells (a cluster may hold most rows)
+    held = rows.select(*keys, *CELL).distinct().groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    most, last = sizes.agg(F.max("_rows"), F.max("_cb")).first()
+    counted.unpersist()
+    limit = 4 * WEIGHTED if held <= HELD else min(WEIGHTED, 2 * HELD)
+    span = max(1, limit // int(most or 1))
+    of_task = F.floor(F.col("_cb") / F.lit(span)).cast("int")
+    shares = sizes.groupBy(*keys, of_task.alias("_cg")).agg(F.ceil(F.sum("_rows") / F.lit(limit)).cast("int").alias("_shares")).persist()
+    cut = null_safe_join(rows.withColumn("_cg", of_task), sized_broadcast(shares), [*keys, "_cg"]).withColumn(
+        "_share", F.pmod(F.xxhash64("_b", *CELL), F.col("_shares")).cast("int")
+    ).drop("_shares")
+    draws_of = null_safe_join(draws.withColumn("_cg", of_task), shares, [*keys, "_cg"]).withColumn(
         "_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))
-    ).select(*keys, "_cb", "_share", "_draws")
+    ).select(*keys, "_cg", "_share", "_cb", "_mass", "_draws")
+    names = WEIGHED
     sum_schema = T.StructType(
-        [*_key_schema(df, keys), T.StructField("_b", T.IntegerType())]
+        [*_key_schema(df, keys), T.StructField("_cg", T.IntegerType()), T.StructField("_b", T.IntegerType())]
         + [rows.schema[c] for c in CELL] + [T.StructField("_w", T.BinaryType())]
     )
-    names = [*keys, "_b", *CELL]
 
-    def added(pdf: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
-        """Sum the weight vectors (rows of ``matrix``) of equal cells."""
-        code = pdf.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
-        order = np.argsort(code, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-        out = pdf[names].iloc[order[starts]].reset_index(drop=True)
-        out["_w"] = [w.tobytes() for w in np.add.reduceat(matrix[order], starts, axis=0)]
+    def vectors(key: tuple, pdf: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
+        out = pdf[names].reset_index(drop=True)
+        for i, k in enumerate([*keys, "_cg"]):
+            out.insert(i, k, key[i])
+        out["_w"] = [w.tobytes() for w in matrix]
         return out
 
     def weigh(key: tuple, pdf: pd.DataFrame, drawn_to: pd.DataFrame) -> pd.DataFrame:
-        """The bucket's multiplicities, drawn where its cells lie; only sums per cell leave the task."""
-        weights = _weights(drawn_to, int(pdf["_cn"].iloc[0]), key[:-1], seed).astype(np.int64)
-        weights = np.vstack([np.ones((1, weights.shape[1]), dtype=np.int64), weights])
-        parts = []
-        for start in range(0, len(pdf), BUCKET_MEMBERS):
-            part = pdf.iloc[start : start + BUCKET_MEMBERS]
-            times = part["_n"].to_numpy(dtype=np.int64)
-            parts.append(added(part, weights[:, part["_ci"].to_numpy()].T * times[:, None]))
-        return merged(pd.concat(parts)) if len(parts) > 1 else parts[0]
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        return added(pdf, np.frombuffer(b"".join(pdf["_w"]), dtype=np.int64).reshape(len(pdf), -1))
-
-    partial = (
-        cut.groupBy(*keys, "_cb", "_share").cogroup(draws_of.groupBy(*keys, "_cb", "_share"))
+        """The buckets' multiplicities, drawn where their cells lie; only sums per cell leave the task."""
+        pdf["_cell"] = pdf.groupby(names, sort=False, dropna=False).ngroup()
+        first = pdf.drop_duplicates("_cell")
+        total = np.zeros((len(first), n_boot + 1), dtype=np.int64)
+        drawn_of = {int(r["_cb"]): drawn_to.iloc[[i]] for i, r in enumerate(drawn_to[["_cb"]].to_dict("records"))}
+        for cb, part in pdf.groupby("_cb", sort=True):
+            here = drawn_of[int(cb)]
+            weights = _weights(here, int(here["_mass"].iloc[0]), (*key[: len(keys)], np.int32(cb)), seed)
+            of_cluster = np.ones((weights.shape[1], n_boot + 1), dtype=np.int64)
+            of_cluster[:, 1:] = weights.T
+            part = part.sort_values("_cell", kind="stable")
+            for start in range(0, len(part), BUCKET_MEMBERS):
+                some = part.iloc[start : start + BUCKET_MEMBERS]
+                cell = some["_cell"].to_numpy()
+                starts = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
+                times = some["_n"].to_numpy(dtype=np.int64)
+                found = of_cluster[some["_ci"].to_numpy()]
+                if (times != 1).any():
+                    found *= times[:, None]
+                total[cell[starts]] += np.add.reduceat(found, starts, axis=0)
+        return vectors(key, first, total)
+
+    def added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return vectors(key, *_added(pdf, names))
+
+    sums = (
+        cut.groupBy(*keys, "_cg", "_share").cogroup(draws_of.groupBy(*keys, "_cg", "_share"))
         .applyInPandas(weigh, sum_schema)
     )
+    tasks = int(last or 0) // span + 1
+    while tasks > MERGED:
+        tasks = -(-tasks // MERGED)
+        above = F.floor(F.col("_cg") / F.lit(MERGED)).cast("int")
+        sums = sums.withColumn("_cg", above).groupBy(*keys, "_cg", "_b").applyInPandas(added, sum_schema)
+    return sums
+
+
+def weighted_cells_by_cluster(
+    df: DataFrame, keys: list[str], group: str, a, b, cluster: str, n_boot: int, seed: int,
+    y: str, prob: str, pred: str,
+) -> DataFrame:
+    """Cluster bootstrap weights of score cells, a row per score range."""
+    sums = cluster_weight_sums(df, keys, group, a, b, cluster, n_boot, seed, y, prob, pred)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = merged(pdf)
-        matrix = np.frombuffer(b"".join(total["_w"]), dtype=np.int64).reshape(len(total), -1)
-        return _packed(total, keys, matrix.T)
+        first, matrix = _added(pdf, WEIGHED)
+        return _packed(pd.concat([pdf.loc[first.index, keys], first], axis=1), keys, matrix.T)
+
+    return sums.groupBy(*keys, "_b").applyInPandas(pack, _pack_schema(df, keys))
+
 
-    return partial.groupBy(*keys, "_b").applyInPandas(pack, _pack_schema(df, keys))
+def _added(pdf: pd.DataFrame, names: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """First row and summed weight vector of each distinct cell."""
+    cell = pdf.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+    first = np.unique(cell, return_index=True)[1]
+    total = np.zeros((len(first), len(pdf["_w"].iloc[0]) // 8), dtype=np.int64)
+    for c, w in zip(cell, pdf["_w"]):
+        total[c] += np.frombuffer(w, dtype=np.int64)
+    return pdf[names].iloc[first], total
 
 
 def _unpack(row, n_boot: int):

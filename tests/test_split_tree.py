@@ -77,3 +77,22 @@ def test_cluster_weights_are_one_multiplicity_per_cluster(spark, monkeypatch, sh
             got[int(side[i]), float(prob[i]), int(pred[i]), int(y[i])] = weights[:, i]
     assert sorted(got) == sorted(want)
     assert all((got[k] == want[k]).all() for k in want)
+
+
+def many_clusters(n=3000):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": "k", "c": rng.integers(0, n // 2, n), "g": rng.choice(["A", "B"], n), "y_true": rng.integers(0, 2, n)})
+    pdf["prob"] = np.round(rng.uniform(size=n), 1)
+    pdf["pred"] = (pdf.prob >= 0.5).astype(int)
+    return pdf
+
+
+def test_weight_vectors_do_not_grow_with_clusters(spark, monkeypatch):
+    monkeypatch.setattr(RS, "BUCKET_MEMBERS", 16)  # some eighty buckets of clusters
+    monkeypatch.setattr(RS, "WEIGHTED", 10)
+    pdf = many_clusters()
+    sums = RS.cluster_weight_sums(spark.createDataFrame(pdf), ["k"], "g", "A", "B", "c", 12, 9, "y_true", "prob", "pred").toPandas()
+    cells = pdf.groupby(["g", "prob", "pred", "y_true"]).size()
+    assert len(sums) <= RS.MERGED * len(cells)
+    total = np.array([np.frombuffer(w, dtype=np.int64) for w in sums["_w"]]).sum(axis=0)
+    assert total[0] == len(pdf) and abs(total[1:] - len(pdf)).max() < 0.2 * len(pdf)
