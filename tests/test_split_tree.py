@@ -96,3 +96,21 @@ def test_weight_vectors_do_not_grow_with_clusters(spark, monkeypatch):
     assert len(sums) <= RS.MERGED * len(cells)
     total = np.array([np.frombuffer(w, dtype=np.int64) for w in sums["_w"]]).sum(axis=0)
     assert total[0] == len(pdf) and abs(total[1:] - len(pdf)).max() < 0.2 * len(pdf)
+
+
+def test_clusters_are_drawn_by_kind(spark, monkeypatch):
+    pdf = many_clusters()
+    df = spark.createDataFrame(pdf)
+    sizes = []
+    plain = RS._bucket_draws
+    monkeypatch.setattr(RS, "_bucket_draws", lambda m, *a: sizes.append(m.count()) or plain(m, *a))
+    kinds = RS.kind_count_replicates(df, ["k"], "g", "A", "B", "c", 3000).toPandas()
+    assert sizes == [1]
+    each = RS.cluster_count_replicates(df, ["k"], "g", "A", "B", "c", 3000).toPandas()
+    one, two = (d.set_index("replicate").sort_index()[list(RS.SIDES)] for d in (kinds, each))
+    assert (one.loc[0] == two.loc[0]).all()
+    one, two = one.loc[1:], two.loc[1:]
+    assert np.abs(one.mean() - two.mean()).max() < 6 * two.std().max() / 3000**0.5
+    assert np.abs(np.cov(one.T) / np.cov(two.T).max() - np.cov(two.T) / np.cov(two.T).max()).max() < 0.12
+    table = RS.cluster_vs_naive(df, ["k"], "g", "A", "B", "c", 50)
+    assert sizes[-1] == 1 and table.count() == 5
