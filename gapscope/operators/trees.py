@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Entries of a histogram built at a time.
-HISTOGRAM = 1 << 22
+HISTOGRAM = 1 << 19
 #: The L2 penalty and the least Hessian of a leaf in boosting.
 LEAF_PENALTY, LEAST_HESSIAN = 1.0, 1.0
 
@@ -34,7 +34,7 @@ class Tree:
 
 
 #: Nodes looked up at a time when trees are applied.
-LOOKED_UP = 1 << 20
+LOOKED_UP = 1 << 18
 
 
 def value_sums(trees: list[Tree], bins: np.ndarray) -> np.ndarray:

@@ -198,3 +198,17 @@ def test_a_missing_score_is_a_status_of_its_group(spark):
         "good": "ok", "null": "nonfinite_predictor", "nan": "nonfinite_predictor", "flat": "degenerate_predictor",
     }
     assert got["null"]["calib_slope"] is None and got["good"]["calib_slope"] > 0
+
+
+def test_blocks_of_trees_meet_sets_of_cells(spark, monkeypatch):
+    """A task holds one block and a few sets of cells; scores do not depend on how cells are dealt."""
+    df = folded(spark)
+    families = ("random_forest", "boosted_trees")
+    pool = L.fit_pool(df, SPEC, families, "y_true", "fold", 3, SMALL)
+    whole = {(r["row_id"], r["family"], r["model"]): r["prob"] for r in pool.all_models(df, ["row_id"]).collect()}
+    assert pool.trees.count() == pool.trees.rdd.getNumPartitions() == 3 * (3 + 1)
+    monkeypatch.setattr(PL, "SCORED", 40)
+    monkeypatch.setattr(PL, "SETS", 2)
+    dealt = {(r["row_id"], r["family"], r["model"]): r["prob"] for r in pool.all_models(df, ["row_id"]).collect()}
+    assert len(whole) == 600 * 3 * 2 and dealt.keys() == whole.keys()
+    assert all(dealt[k] == pytest.approx(p, abs=1e-12) for k, p in whole.items())
