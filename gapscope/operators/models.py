@@ -536,25 +536,36 @@ def repeated_splits(
     y: str = "y_true", row_id: str = "row_id", cluster: str | None = None,
     settings: PoolSettings = PoolSettings(),
 ) -> DataFrame:
-    """Sensitivity gap of a logistic + isotonic ensemble on one new split per seed."""
+    """Sensitivity gap of a logistic + isotonic ensemble on one new split per seed.
+
+    The folds of a seed are fitted in the same passes over the rows and mapped by one isotonic job;
+    ``settings.parallelism`` seeds run at a time.
+    """
     from .splits import kfold_grouped, kfold_stratified, split_grouped, split_stratified
 
-    kept = df.where(F.col(group).isin([a, b])).persist()
-    parts = []
-    for seed in seeds:
-        if cluster is None:
-            sides = split_stratified(kept, [], y, row_id, seed)
-            train = kfold_stratified(sides.where("split = 'train'"), [], y, row_id, seed, folds)
-        else:
-            sides = split_grouped(kept, [], cluster, seed)
-            train = kfold_grouped(sides.where("split = 'train'"), [], y, cluster, seed, folds)
-        train = train.persist()
-        threshold = train.agg(F.avg(F.col(y).cast("double"))).first()[0]
-        ensemble = isotonic_fold_ensemble(train, spec, "logistic_regression", folds, y, "fold", settings)
-        scored = ensemble.score(sides.where("split = 'test'"), "prob").select(group, y, "prob")
-        parts.append(
-            scored.withColumn("pred", (F.col("prob") >= threshold).cast("int")).withColumn("seed", F.lit(seed))
-        )
-    rows = _settled(reduce(DataFrame.unionByName, parts))
-    pairs = G.with_side_rates(G.pair_counts(rows, ["seed"], group, a, b, y, "pred"), ("sensitivity",))
-    return pairs.select("seed", G.gap("sensitivity").alias("gap"))
+    kept = df.where(F.col(group).isin([a, b])).select(*dict.fromkeys([row_id, group, y, *spec.features, *([cluster] if cluster else [])])).persist()
+    kept.count()
+
+    def job(seed: int):
+        def run() -> DataFrame:
+            if cluster is None:
+                sides = split_stratified(kept, [], y, row_id, seed)
+                train = kfold_stratified(sides.where("split = 'train'"), [], y, row_id, seed, folds)
+            else:
+                sides = split_grouped(kept, [], cluster, seed)
+                train = kfold_grouped(sides.where("split = 'train'"), [], y, cluster, seed, folds)
+            train = train.persist()
+            threshold = train.agg(F.avg(F.col(y).cast("double"))).first()[0]
+            pool = fit_pool(train, spec, ("logistic_regression",), y, "fold", folds, settings)
+            scored = calibrated_scores(train, sides.where("split = 'test'"), pool, [group, y], row_id, y)
+            pred = (F.col("prob") >= threshold).cast("int")
+            pairs = G.pair_counts(scored, [], group, a, b, y, pred).withColumn("seed", F.lit(seed)).checkpoint()
+            train.unpersist()
+            return pairs
+
+        return run
+
+    ensure_checkpoint_dir(df.sparkSession)
+    pairs = reduce(DataFrame.unionByName, in_parallel([job(s) for s in seeds], settings.parallelism))
+    kept.unpersist()
+    return G.with_side_rates(pairs, ("sensitivity",)).select("seed", G.gap("sensitivity").alias("gap"))

@@ -212,3 +212,19 @@ def test_blocks_of_trees_meet_sets_of_cells(spark, monkeypatch):
     dealt = {(r["row_id"], r["family"], r["model"]): r["prob"] for r in pool.all_models(df, ["row_id"]).collect()}
     assert len(whole) == 600 * 3 * 2 and dealt.keys() == whole.keys()
     assert all(dealt[k] == pytest.approx(p, abs=1e-12) for k, p in whole.items())
+
+
+def test_split_seeds_are_the_ensemble_of_each_seed(spark, monkeypatch):
+    pdf = rows_of(700).rename(columns={"y": "y_true"})
+    pdf["c"] = [f"c{i // 3}" for i in range(700)]
+    df = spark.createDataFrame(pdf)
+    spec = P.DesignSpec(["x1", "x2"])
+    sides = S.split_grouped(df, [], "c", 3).persist()
+    train = S.kfold_grouped(sides.where("split = 'train'"), [], "y_true", "c", 3, 3).persist()
+    scored = L.isotonic_fold_ensemble(train, spec, "logistic_regression", 3).score(sides.where("split = 'test'"), "prob").toPandas()
+    scored = scored[scored.y_true == 1]
+    hit = scored.prob >= train.agg(F.avg("y_true")).first()[0]
+    want = hit[scored.k == "A"].mean() - hit[scored.k == "B"].mean()
+    monkeypatch.setattr(L, "fit_family", None)  # one fit a fold after the other is what took too long
+    got = L.repeated_splits(df, spec, "k", "A", "B", [3, 4], 3, cluster="c", settings=SMALL).orderBy("seed").collect()
+    assert [r["seed"] for r in got] == [3, 4] and got[0]["gap"] == pytest.approx(want, abs=1e-9) and got[1]["gap"] is not None
