@@ -104,3 +104,18 @@ def test_a_narrow_band_of_scores_is_cut_into_buckets(spark):
     spans = got.groupBy("_b").agg({"_n": "sum", "_prob": "max"}).orderBy("_b").collect()
     assert max(r["sum(_n)"] for r in spans) <= RS.BUCKET_MEMBERS and len(spans) == 20
     assert all(x["max(_prob)"] < y["max(_prob)"] for x, y in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("range_rows", [400_000, 40])
+def test_replicates_are_ranked_in_packed_ranges(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(PM, "RANGE_ROWS", range_rows)
+    rng = np.random.default_rng(7)
+    x, y = np.round(rng.normal(size=500), 1), rng.integers(0, 2, 500)
+    slopes = np.array([1.0, -2.0, 0.0])
+    df = spark.createDataFrame([(float(v), int(t)) for v, t in zip(x, y)], "x double, y int").repartition(3)
+    got = PM.replicate_auroc(df, lambda pdf: np.abs(pdf[["x"]].to_numpy() * slopes) / 20, np.array([0, 1, 5], dtype=np.int32), "y").collect()
+    score = np.abs(x[:, None] * slopes) / 20
+    for r, j in ((0, 0), (1, 1), (5, 2)):
+        d = score[y == 1, j][:, None] - score[y == 0, j][None, :]
+        want = ((d > 0).sum() + 0.5 * (d == 0).sum()) / d.size
+        assert {v["replicate"]: v["auroc"] for v in got}[r] == pytest.approx(want, abs=1e-12)
