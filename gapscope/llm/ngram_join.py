@@ -5,9 +5,11 @@ of t or more differ from each other, seen from the first one, in at most ``a - c
 Every filter below follows from that and loses no pair:
 
 1. *Equal sets* are one class, by fingerprint; members are linked without being compared.
-2. *Rare-first order* over a fixed region of the hash range. A token of the region that no other
+2. *Rare-first order* over fixed slices of the hash range. A token of a slice that no other
    document holds is missing everywhere, so a document with more such tokens than its allowance has
-   no partner. One grouped count over the region's tokens settles most documents.
+   no partner. One grouped count a slice settles most documents; the slices are counted one after
+   the other, so that only one slice's tokens are on disk at a time. The classes left are counted
+   again among themselves, over the whole range, before their sets are made.
 3. *Rare-first order over all tokens* of the classes left. Partners meet in a list of their prefixes,
    and neither may share fewer tokens with all others than the pair must have in common.
 4. *Two hash orders*: a candidate pair must share a prefix token under each of them before its sets
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 from .common import components, register, released, row_keyed, table, written
 from .textops import Words, mix, span_hash, word_slices, WORD_BASE
 
-#: Share of the hash range in which tokens are counted over the whole corpus.
-REGION = 0.32
+#: Bounds of the slices of the hash range in which tokens are counted over the whole corpus.
+SLICES = (0.0, 0.2, 0.4, 0.6)
+#: And those for the classes that this leaves: the whole range.
+REST = (0.0, 0.5, 1.0)
+#: Up to this many row numbers go to the texts; of more of them the texts are shuffled.
+SENT_ROWS = 1 << 18
 ORDER_SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
 
@@ -62,39 +68,36 @@ def _fingerprint(tokens: np.ndarray) -> int:
     return int(mix(mix(total[:1]) + total[1:])[0].astype(np.int64))
 
 
-def profiles(docs: DataFrame, n: int, region: float) -> DataFrame:
-    """One row per document: set size, fingerprint, tokens in the region."""
-    top = np.uint64(int(region * 2**64))
+def profiles(docs: DataFrame, n: int) -> DataFrame:
+    """One row per document: set size and fingerprint."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, inside = [], [], []
+            sizes, prints = [], []
             for words in word_slices(batch.column(1), lower=True):
                 for s in token_sets(words, n):
                     sizes.append(len(s))
                     prints.append(_fingerprint(s) if len(s) else None)
-                    inside.append(int(np.searchsorted(s, top)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(inside, pa.int64())],
-                names=["_row", "size", "class", "inside"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names=["_row", "size", "class"]
             )
 
-    return docs.select("_row", "text").mapInArrow(scan, "_row long, size long, class long, inside long")
+    return docs.select("_row", "text").mapInArrow(scan, "_row long, size long, class long")
 
 
-def region_tokens(docs: DataFrame, n: int, region: float) -> DataFrame:
-    """(token, _row) for the tokens whose hash lies in the region.
+def slice_tokens(docs: DataFrame, n: int, lo: float, hi: float) -> DataFrame:
+    """(token, _row) for the tokens whose hash lies in the slice [lo, hi) of the range.
 
     Their first 48 bits only, to shuffle less: tokens that agree in these count as shared, so the
     filter keeps a document too many, never one too few.
     """
-    top = np.uint64(int(region * 2**64))
+    bounds = np.array([int(lo * 2**64), min(int(hi * 2**64), 2**64 - 1)], dtype=np.uint64)
 
     def scan(batches):
         for batch in batches:
             rows = batch.column(0).to_numpy()
             for words in word_slices(batch.column(1), lower=True, size=1 << 18):
-                found = [s[: np.searchsorted(s, top)] for s in token_sets(words, n)]
+                found = [s[slice(*np.searchsorted(s, bounds))] for s in token_sets(words, n)]
                 owner = np.repeat(rows[words.first : words.first + words.docs], [len(x) for x in found])
                 tokens = (np.concatenate(found) >> np.uint64(16)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["token", "_row"])
@@ -102,6 +105,27 @@ def region_tokens(docs: DataFrame, n: int, region: float) -> DataFrame:
     return docs.select("_row", "text").mapInArrow(scan, "token long, _row long")
 
 
+def missing_tokens(docs: DataFrame, n: int, slices: tuple[float, ...]) -> DataFrame:
+    """(_row, missing): the tokens of a document, of those in the slices, that no other document holds."""
+    found = None
+    for lo, hi in zip(slices, slices[1:]):
+        alone = (
+            slice_tokens(docs, n, lo, hi).groupBy("token")
+            .agg(F.count("*").alias("n"), F.min("_row").alias("_row")).where("n = 1")
+            .groupBy("_row").agg(F.count("*").alias("missing"))
+        )
+        part = written(alone, "missing")
+        released(docs.sparkSession)
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("_row").agg(F.sum("missing").alias("missing"))
+
+
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(_row, text) of the given rows, a written table."""
+    rows = rows.select("_row")
+    return docs.select("_row", "text").join(F.broadcast(rows) if rows.count() <= SENT_ROWS else rows, "_row")
+
+
 def class_sets(docs: DataFrame, n: int) -> DataFrame:
     """(class, size, tokens): the sorted set of each given document as packed 64-bit values."""
 
@@ -259,28 +283,26 @@ def class_links(sets: DataFrame, percent: int, stars: int = 3, tries: int = 3) -
     return last if links is None else links.unionByName(last)
 
 
-def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, region: float = REGION) -> DataFrame:
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, slices: tuple[float, ...] = SLICES) -> DataFrame:
     """``docs`` (with a unique long ``_row`` and ``text``) -> (_row, size, class, root).
 
     ``root`` numbers the connected group of similar documents (the smallest ``_row`` in it); documents
     without tokens have null class and root. Classes are joined under the ``_row`` of their first
     member: row numbers take fewer bytes of a shuffle than fingerprints do.
     """
-    profile = written(profiles(docs, n, region), "profiles")
-    alone = (
-        region_tokens(docs, n, region).groupBy("token")
-        .agg(F.count("*").alias("n"), F.min("_row").alias("_row")).where("n = 1")
-        .groupBy("_row").agg(F.count("*").alias("missing"))
-    )
+    profile = written(profiles(docs, n), "profiles")
+    alone = missing_tokens(docs, n, slices)
+    possible = f"coalesce(missing, 0) <= size - ceil(size * {percent} / 100)"
     alive = written(
-        profile.join(alone, "_row", "left")
-        .where(f"size > 0 and coalesce(missing, 0) <= size - ceil(size * {percent} / 100)")
-        .groupBy("class").agg(F.min("_row").alias("_row")),
+        profile.join(alone, "_row", "left").where(f"size > 0 and {possible}")
+        .groupBy("class").agg(F.min("_row").alias("_row"), F.first("size").alias("size")),
         "alive",
     )
     released(docs.sparkSession)
-    first = docs.select("_row", "text").join(alive.select("_row"), "_row").select(F.col("_row").alias("class"), "text")
-    sets = written(class_sets(first, n), "sets")
+    first = written(texts_of(docs, alive), "first")
+    released(docs.sparkSession)
+    near = written(alive.join(missing_tokens(first, n, REST), "_row", "left").where(possible), "near")
+    sets = written(class_sets(texts_of(first, near).withColumnRenamed("_row", "class"), n), "sets")
     released(docs.sparkSession)
     linked = components(class_links(sets, percent)).withColumnRenamed("node", "_row")
     roots = alive.join(linked, "_row", "left").select("class", F.coalesce("root", "_row").alias("root"))

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from gapscope.llm import ngram_join
 from gapscope.llm.ngram_join import near_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +64,21 @@ def test_hot_list_of_unlinked_documents(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_small_tables(spark, rows):
     assert run(spark, rows) == brute(rows)
+
+
+def test_documents_without_a_partner_leave_before_their_sets_are_made(spark, monkeypatch):
+    held = []
+    whole = ngram_join.class_sets
+
+    def seen(docs, n):
+        held.extend(r["class"] for r in docs.select("class").collect())
+        return whole(docs, n)
+
+    monkeypatch.setattr(ngram_join, "class_sets", seen)
+    monkeypatch.setattr(ngram_join, "SENT_ROWS", 3)  # the first texts are shuffled, the last not
+    shared = " ".join(f"s{i}" for i in range(400))
+    rows = [(i, shared + " " + " ".join(f"d{i}x{j}" for j in range(270))) for i in range(12)]
+    rows += [(100 + i, " ".join(f"c{j}" for j in range(200)) + f" tail{i}") for i in range(3)]
+    rows += [(200, "e f g h i j"), (201, "e f g h i j")]
+    assert run(spark, rows) == brute(rows)
+    assert sorted(held) == [100, 101, 102]
