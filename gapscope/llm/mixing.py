@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, register, table, written
+from .common import WORD, register, released, table, written
 
 BLOCK = 256
 SHARD = 512
@@ -108,6 +108,7 @@ def drawn_slots(sources: DataFrame, total: int) -> DataFrame:
     draw = F.pmod(F.xxhash64("slot", F.lit("draw")), F.lit(max(total, 1)))
     drawn = found_range(slots, draw, sources.select("_s", "_first_slot", "slots"), "_first_slot", "slots", total)
     counted = written(in_order(drawn.withColumn("one", F.lit(1)), ["_s"], "shard", ["slot"], "one", "j"), "slots")
+    released(spark)
     kept = counted.where("j < slots").select("slot", "shard", "_s", "j")
     by_source = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     missing = (
@@ -128,14 +129,16 @@ def permuted(i: Column, n: Column, *salt: Column) -> Column:
     """A pseudorandom permutation of 0 .. n-1: Feistel rounds on a grid of about sqrt(n) a side,
     walked again while they lead outside (at most the grid's excess, below its side)."""
     side = F.ceil(F.sqrt(n)).cast("long")
+    height = F.ceil(n / side).cast("long")
+
+    # a round names its input once: written out, the rounds double from one to the next
+    def one(s: Column, r: Column) -> Column:
+        a = F.pmod(s["a"] + F.pmod(F.xxhash64(s["b"], r, *salt), height), height)
+        return F.struct(a.alias("a"), F.pmod(s["b"] + F.pmod(F.xxhash64(a, r + 1, *salt), side), side).alias("b"))
 
     def rounds(x: Column) -> Column:
-        a, b = F.floor(x / side).cast("long"), F.pmod(x, side)
-        height = F.ceil(n / side).cast("long")
-        for r in range(0, 6, 2):
-            a = F.pmod(a + F.pmod(F.xxhash64(b, F.lit(r), *salt), height), height)
-            b = F.pmod(b + F.pmod(F.xxhash64(a, F.lit(r + 1), *salt), side), side)
-        return a * side + b
+        start = F.struct(F.floor(x / side).cast("long").alias("a"), F.pmod(x, side).alias("b"))
+        return F.aggregate(F.array(F.lit(0), F.lit(2), F.lit(4)), start, one, lambda s: s["a"] * side + s["b"])
 
     once = rounds(i)
     again = F.aggregate(F.sequence(F.lit(1).cast("long"), side + 1), once, lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
@@ -175,6 +178,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         ["_s"], "_bucket", ["_key", "doc_id", "_size"], "_size", "_from",
     )
     placed = written(placed.select("doc_id", "_s", "_size", "_key", "_from"), "placed")
+    released(docs.sparkSession)
     uses = block_uses(sources, drawn_slots(sources, int(facts["slots"])))
     parts = (
         placed.where("_size > 0")

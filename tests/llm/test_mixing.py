@@ -83,3 +83,9 @@ def test_permutations(spark, n):
     for salt in (1, 2):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(salt)).alias("p")).collect()
         assert sorted(r["p"] for r in got) == list(range(n))
+
+
+def test_permutation_stays_a_short_expression(spark):
+    rows = spark.range(50).select(mixing.permuted(F.col("id"), F.lit(50).cast("long"), F.lit(3)).alias("p"))
+    assert len(rows._jdf.queryExecution().analyzed().toString()) < 12000
+    assert sorted(r["p"] for r in rows.collect()) == list(range(50))
