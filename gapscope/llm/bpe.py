@@ -19,8 +19,8 @@ from .textops import BYTE_BASE, span_hash
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Distinct pre-tokens remembered at most; then the memory starts anew.
-REMEMBERED = 500_000
-SLICE_CHARS = 500_000
+REMEMBERED = 100_000
+SLICE_CHARS = 250_000
 _CODE_BASE = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -39,8 +39,10 @@ def classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, dtype=np.uint8)
+    codes = np.arange(0x110000, dtype="<u4")
+    codes[0xD800:0xE000] = 0
+    every = codes.tobytes().decode("utf-32-le")
     for code, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\x00" for c in range(0x110000))
         for m in regex.finditer(pattern, every):
             table[m.start() : m.end()] = code
     return table

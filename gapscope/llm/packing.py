@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import register, table, written
+from .common import arrow_batches, register, table, written
 
 END = 2
 LENGTH = 1024
@@ -119,7 +119,8 @@ def pack(items: DataFrame, size: int = LENGTH, leaf: int = LEAF, fan: int = FAN,
     ``sequence_id`` joins the level, the node and the bin's number in it.
     """
     columns = items.columns
-    left = written(items.withColumn("_item", F.monotonically_increasing_id()), "pieces")
+    with arrow_batches(items.sparkSession):  # whole texts cross to Python here
+        left = written(items.withColumn("_item", F.monotonically_increasing_id()), "pieces")
     nodes = max(1, -(-left.count() // leaf))
     done, level = [], 0
     schema = left.withColumns(

@@ -1,10 +1,12 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gapscope.llm import packing
+from gapscope.llm import bpe, packing
 from gapscope.llm.bpe import vocabulary_path
 
 HARD = [
@@ -74,3 +76,28 @@ def test_no_node_exceeds_its_leaf(spark, monkeypatch, low, high, share):
     assert all(a + n == b for parts in bins.values() for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:]))
     assert max(nodes.values()) <= 300
     assert len(bins) <= share * (len(lengths) if low > 512 else -(-sum(lengths) // 1024)) + 12
+
+
+def test_long_texts_come_in_small_batches(spark):
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (b.nbytes, 1)], names=["nbytes", "length"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('word ', 2000) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = packing.pack(texts.mapInArrow(seen, "nbytes long, length long")).collect()
+    assert sum(r["nbytes"] for r in got) > 30_000_000
+    assert max(r["nbytes"] for r in got) < 6_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_the_memory_of_pieces_is_bounded():
+    encode = bpe.encoder(packing.VOCABULARY)
+    bpe.classes()
+    words = np.random.default_rng(3).integers(97, 123, (360_000, 6), dtype=np.uint8)
+    texts = pa.array([" ".join(w.tobytes().decode() for w in part) for part in np.array_split(words, 40)])
+    tracemalloc.start()
+    ids = [len(x) for x in encode(texts)]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert min(ids) >= 9000 and held < 32e6
