@@ -1,12 +1,14 @@
 """Log-bilinear language model: noise-contrastive training and exactly normalised scoring in numpy.
 
 Every token belongs to a *unit*: the most frequent words and the end of a text are units of their
-own, all other words share a unit by their last two bytes (so unseen words have one too). The model
-is P(unit | the two units before) * P(word | unit). The first factor is log-bilinear: the context
-vector is a sum of unit vectors scaled by position, its inner products with the output vectors plus
-a bias are the scores, and a softmax over all units normalises them. The second factor is the
-word's count plus 0.5 within its unit, with one more 0.5 for words never seen there. So the
-probabilities of all words seen, of "unseen" in each unit and of the end sum to one.
+own, all other words share a unit by their last two bytes (so unseen words have one too). A shared
+unit is parted by hash into *leaves*, whose number grows with the root of the vocabulary. The model
+is P(unit | the two units before) * P(leaf | unit, the two leaves before) * P(word | leaf). The
+first two factors are log-bilinear, each with vectors of its own: the context vector is a sum of
+unit (leaf) vectors scaled by position, its inner products with the output vectors plus a bias are
+the scores, and a softmax over all units (over the unit's leaves) normalises them. The last factor
+is the word's count plus 0.5 within its leaf, with one more 0.5 for words never seen there. So the
+probabilities of all words seen, of "unseen" in each leaf and of the end sum to one.
 
 Learning: word counts are one grouped sum over all training texts; then every partition runs
 noise-contrastive gradient steps over its own whole texts from the same start, and the parameters
@@ -19,6 +21,8 @@ equal scores; a row without doc_id is scored, but is neither learned from nor he
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +40,11 @@ NOISE = 32
 BATCH = 1024
 RATE = 0.2
 HEAD = 1 << 18
+ALONE = 1 + FREQUENT  # units of one word, and leaves of one word, are below
+LEAF_NOISE = 8
+LEAF_BATCH = 4096
+SUB_SHIFT = 40
+BLOCK = 4096  # parameters averaged together
 
 
 def buckets(words: Words) -> np.ndarray:
@@ -63,14 +72,29 @@ def unit_stream(words: Words, hashes: np.ndarray, frequent: np.ndarray) -> tuple
     return stream, place
 
 
-def contexts(stream: np.ndarray, words: Words) -> np.ndarray:
-    """[position, token] units before each token; UNITS stands for "before the text"."""
+def subunits_for(types: int) -> int:
+    """Leaves of each shared unit: a power of two that grows with the root of the vocabulary."""
+    return 1 << max(0, int(np.ceil(np.log2(max(types, 1) ** 0.5 / 16))))
+
+
+def leaf_stream(stream: np.ndarray, place: np.ndarray, hashes: np.ndarray, subunits: int) -> np.ndarray:
+    """Leaves of all tokens: the unit itself where it is one word, else one of its unit's ``subunits`` by hash."""
+    kind = np.uint16 if ALONE + BUCKETS * subunits < 1 << 16 else np.int32  # short integers sort faster
+    leaves = stream.astype(kind)
+    unit = stream[place].astype(np.int32)
+    sub = ((hashes >> np.uint64(SUB_SHIFT)) & np.uint64(subunits - 1)).astype(np.int32)
+    leaves[place] = np.where(unit < ALONE, unit, ALONE + (unit - ALONE) * subunits + sub)
+    return leaves
+
+
+def contexts(stream: np.ndarray, words: Words, none: int = UNITS) -> np.ndarray:
+    """[position, token] units before each token; ``none`` stands for "before the text"."""
     first = np.repeat(words.doc_words[:-1] + np.arange(words.docs), words.counts() + 1)
     age = np.arange(len(stream)) - first
-    out = np.full((CONTEXT, len(stream)), UNITS, dtype=np.uint8)
+    out = np.full((CONTEXT, len(stream)), none, dtype=stream.dtype)
     for c in range(CONTEXT):
         out[c, c + 1 :] = stream[: -c - 1]
-        out[c, age <= c] = UNITS
+        out[c, age <= c] = none
     return out
 
 
@@ -136,6 +160,86 @@ class Trainer:
         self.tokens += b
 
 
+def start_leaves(leaf_counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Starts as the shares of the leaves in their units; ``leaf_counts`` is [shared unit, leaf]."""
+    rng = np.random.default_rng(9)
+    share = (leaf_counts + 0.5) / (leaf_counts + 0.5).sum(axis=1)[:, None]
+    return {
+        "inp": (rng.standard_normal((ALONE + share.size + 1, DIM)) * 0.1).astype(np.float32),
+        "out": np.zeros((share.size, DIM), dtype=np.float32),
+        "pos": np.full((CONTEXT, DIM), 0.7, dtype=np.float32),
+        "bias": np.log(share).ravel().astype(np.float32),
+    }
+
+
+class LeafTrainer:
+    """Noise-contrastive steps for the leaf of a token in its shared unit; noise is drawn within the unit."""
+
+    def __init__(self, start: dict[str, np.ndarray], seed: int):
+        self.p = {k: v.copy() for k, v in start.items()}
+        self.squares = {k: np.full_like(v, 1e-3) for k, v in start.items()}
+        share = np.exp(start["bias"].astype(np.float64)).reshape(BUCKETS, -1)
+        self.cumulative = np.cumsum(share / share.sum(axis=1)[:, None], axis=1)
+        self.log_noise = start["bias"] + np.float32(np.log(LEAF_NOISE))
+        self.rng = np.random.default_rng(seed)
+
+    def step(self, leaves: np.ndarray, ctx: np.ndarray) -> None:
+        p, b, size = self.p, len(leaves), self.cumulative.shape[1]
+        target = leaves - leaves.dtype.type(ALONE)
+        unit = (target // size).astype(np.uint8)
+        order = np.argsort(unit, kind="stable")
+        target, unit, ctx = target[order], unit[order], ctx[:, order]
+        draws = self.rng.random((BUCKETS, LEAF_NOISE))
+        sub = np.minimum((draws[:, :, None] > self.cumulative[:, None, :]).sum(axis=2), size - 1)
+        noise = sub + np.arange(BUCKETS)[:, None] * size
+        q = context_vectors(p, ctx)
+        out_noise, own = p["out"][noise], p["out"][target]
+        data_score = np.einsum("ij,ij->i", q, own) + p["bias"][target] - self.log_noise[target]
+        noise_score = (p["bias"][noise] - self.log_noise[noise])[unit]
+        cuts = np.searchsorted(unit, np.arange(BUCKETS + 1))
+        spans = [(u, slice(a, z)) for u, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+        for u, part in spans:
+            noise_score[part] += q[part] @ out_noise[u].T
+        d = 1 / (1 + np.exp(np.clip(data_score, -30, 30)))
+        e = -1 / (1 + np.exp(np.clip(-noise_score, -30, 30)))
+        dq = d[:, None] * own
+        out = _scatter(target, d[:, None] * q, len(p["out"]))
+        bias = np.bincount(target, weights=d, minlength=len(p["out"])).astype(np.float32)
+        for u, part in spans:
+            dq[part] += e[part] @ out_noise[u]
+            np.add.at(out, noise[u], e[part].T @ q[part])
+            np.add.at(bias, noise[u], e[part].sum(axis=0))
+        inp, pos = np.zeros_like(p["inp"]), np.zeros_like(p["pos"])
+        for c in range(CONTEXT):
+            inp += (sums := _scatter(ctx[c], dq, len(inp))) * p["pos"][c]
+            pos[c] = np.einsum("ij,ij->j", sums, p["inp"])
+        for k, g in (("inp", inp), ("out", out), ("pos", pos), ("bias", bias)):
+            g /= b
+            self.squares[k] += g * g
+            g *= RATE
+            g /= np.sqrt(self.squares[k])
+            p[k] += g
+
+
+class Pending:
+    """Collects tokens with their contexts and hands them on in batches of one size."""
+
+    def __init__(self, step, size: int):
+        self.step, self.size, self.rest = step, size, None
+
+    def add(self, stream: np.ndarray, ctx: np.ndarray) -> None:
+        if self.rest is not None:
+            stream, ctx = np.concatenate((self.rest[0], stream)), np.concatenate((self.rest[1], ctx), axis=1)
+        full = len(stream) // self.size * self.size
+        for i in range(0, full, self.size):
+            self.step(stream[i : i + self.size], ctx[:, i : i + self.size])
+        self.rest = (stream[full:], ctx[:, full:])
+
+    def end(self) -> None:
+        if self.rest is not None and len(self.rest[0]):
+            self.step(*self.rest)
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """(token, bucket, n) over all words of the texts."""
 
@@ -155,44 +259,89 @@ def word_counts(training: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
-def trained(training: DataFrame, frequent: np.ndarray, unit_counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Parameters after every partition has learned from its whole texts, averaged by tokens."""
-    start = start_parameters(unit_counts)
+def _mean(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    """The mean of one block over all partitions, weighted by tokens."""
+    part = part.sort_by([("weight", "ascending"), ("part", "ascending")])
+    values = part["v"].combine_chunks().flatten().to_numpy().reshape(len(part), -1).astype(np.float64)
+    mean = np.average(values, axis=0, weights=part["weight"].to_numpy())
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
+
+
+def trained(
+    training: DataFrame, frequent: np.ndarray, unit_counts: np.ndarray, leaf_counts: np.ndarray
+) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Parameters of units and of leaves after every partition has learned from its whole texts, averaged by tokens."""
+    start, start_leaf = start_parameters(unit_counts), start_leaves(leaf_counts)
     noise_share = (unit_counts + 0.5) / (unit_counts.sum() + 0.5 * UNITS)
-    shapes = {k: v.shape for k, v in start.items()}
-    width = sum(v.size for v in start.values())
+    subunits = leaf_counts.shape[1]
+    none = ALONE + leaf_counts.size
+    pack = training.sparkSession.sparkContext.broadcast((start, start_leaf, noise_share, frequent))
 
     def scan(batches):
-        trainer, rest = Trainer(start, noise_share, 11), None
+        first, first_leaf, share, top = pack.value
+        trainer, leaf_trainer = Trainer(first, share, 11), LeafTrainer(first_leaf, 12)
+        units, leaves = Pending(trainer.step, BATCH), Pending(leaf_trainer.step, LEAF_BATCH)
         for batch in batches:
             for words in word_slices(batch.column(0), lower=True):
-                stream, _ = unit_stream(words, words.hashes(), frequent)
-                ctx = contexts(stream, words)
-                if rest is not None:
-                    stream, ctx = np.concatenate((rest[0], stream)), np.concatenate((rest[1], ctx), axis=1)
-                full = len(stream) // BATCH * BATCH
-                for i in range(0, full, BATCH):
-                    trainer.step(stream[i : i + BATCH], ctx[:, i : i + BATCH])
-                rest = (stream[full:], ctx[:, full:])
-        if rest is not None and len(rest[0]):
-            trainer.step(*rest)
+                hashes = words.hashes()
+                stream, place = unit_stream(words, hashes, top)
+                units.add(stream, contexts(stream, words))
+                if subunits > 1:
+                    leaf = leaf_stream(stream, place, hashes, subunits)
+                    shared = leaf >= ALONE
+                    leaves.add(leaf[shared], contexts(leaf, words, none)[:, shared])
+        units.end()
+        leaves.end()
         if trainer.tokens:
-            flat = np.concatenate([trainer.p[k].ravel() for k in shapes]).astype(np.float64)
+            flat = np.concatenate([v.ravel() for p in (trainer.p, leaf_trainer.p) for v in p.values()])
+            cuts = range(0, len(flat), BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(width, dtype=np.int32)), pa.array(flat), pa.array(np.full(width, trainer.tokens, float))],
-                names=["i", "value", "weight"],
+                [
+                    pa.array(range(len(cuts)), pa.int32()),
+                    pa.array([float(trainer.tokens)] * len(cuts)),
+                    pa.array([zlib.crc32(flat.tobytes())] * len(cuts), pa.int64()),
+                    pa.array([flat[i : i + BLOCK] for i in cuts], pa.list_(pa.float32())),
+                ],
+                names=["block", "weight", "part", "v"],
             )
 
-    rows = training.select("text").mapInArrow(scan, "i int, value double, weight double")
-    mean = rows.groupBy("i").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("v")).toPandas()
+    rows = training.select("text").mapInArrow(scan, "block int, weight double, part long, v array<float>")
+    mean = rows.groupBy("block").applyInArrow(_mean, "block int, v array<float>").toPandas()
     if not len(mean):
-        return start
-    flat, p, at = mean.sort_values("i")["v"].to_numpy(dtype=np.float32), {}, 0
-    for k, shape in shapes.items():
-        size = int(np.prod(shape))
-        p[k] = flat[at : at + size].reshape(shape)
-        at += size
-    return p
+        return start, start_leaf
+    flat, at = np.concatenate(mean.sort_values("block")["v"].to_list()).astype(np.float32), 0
+    result = ({}, {})
+    for p, like in zip(result, (start, start_leaf)):
+        for k, v in like.items():
+            p[k] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+    return result
+
+
+def log_leaves(p: dict[str, np.ndarray], leaves: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Natural log of P(leaf | unit, context), normalised over the unit's leaves, for every token; 0 for units of one word."""
+    result = np.zeros(len(leaves))
+    size = len(p["out"]) // BUCKETS
+    shared = np.flatnonzero(leaves >= ALONE)
+    if size == 1 or not len(shared):
+        return result
+    target = leaves[shared].astype(np.int64) - ALONE
+    unit = (target // size).astype(np.uint8)
+    order = np.argsort(unit, kind="stable")
+    shared, target = shared[order], target[order]
+    cuts = np.searchsorted(unit[order], np.arange(BUCKETS + 1))
+    q, ones = context_vectors(p, ctx[:, shared]), np.ones(size, dtype=np.float32)
+    for u, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        out, bias = p["out"][u * size : (u + 1) * size].T, p["bias"][u * size : (u + 1) * size]
+        for i in range(a, z, 2048):
+            part = slice(i, min(i + 2048, z))
+            scores = q[part] @ out
+            scores += bias
+            scores -= scores.max(axis=1)[:, None]
+            own = scores[np.arange(len(scores)), target[part] - u * size]
+            np.exp(scores, out=scores)
+            result[shared[part]] = own - np.log(scores @ ones)
+    return result
 
 
 def log_units(p: dict[str, np.ndarray], stream: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -220,36 +369,41 @@ def model_scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     top = np.sort(head["token"].to_numpy(np.int64)[:FREQUENT].view(np.uint64))
     head = head.assign(u=head["token"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
     known, known_n = head["u"].to_numpy(), head["n"].to_numpy(np.float64)
-    unit_n, unit_v = np.zeros(UNITS), np.zeros(UNITS)
+    unit_n = np.zeros(UNITS)
     at = lookup(known, top)
     unit_n[1 + at[at >= 0]] += known_n[at >= 0]
-    unit_v[1 + at[at >= 0]] += 1
-    unit_n[0], unit_v[0] = texts, texts > 0
-    shared = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    for r in shared:
-        unit_n[r["bucket"]] += r["n"]
-        unit_v[r["bucket"]] += r["v"]
-    own = head[lookup(known, top) >= 0].groupby("bucket")["n"].agg(["sum", "count"])
-    for b, r in own.iterrows():
-        unit_n[b] -= r["sum"]
-        unit_v[b] -= r["count"]
-    parameters = trained(training, top, unit_n)
-    # an own unit holds exactly its word, so that the unseen share belongs to the shared units
-    alone = np.arange(UNITS) <= FREQUENT
-    log_mass = np.log10(np.where(alone, unit_n + 0.5, unit_n + 0.5 * (unit_v + 1)))
+    unit_n[0] = texts
+    subunits = subunits_for(types)
+    leaf_n, leaf_v = np.zeros((BUCKETS, subunits)), np.zeros((BUCKETS, subunits))
+    sub = F.shiftrightunsigned("token", SUB_SHIFT).bitwiseAND(F.lit(subunits - 1))
+    for r in counts.groupBy("bucket", sub.alias("sub")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        leaf_n[r["bucket"] - ALONE, r["sub"]] += r["n"]
+        leaf_v[r["bucket"] - ALONE, r["sub"]] += r["v"]
+    taken = head[lookup(known, top) >= 0]
+    own_sub = (taken["u"].to_numpy() >> np.uint64(SUB_SHIFT)) & np.uint64(subunits - 1)
+    for b, k, n in zip(taken["bucket"], own_sub.astype(int), taken["n"]):
+        leaf_n[b - ALONE, k] -= n
+        leaf_v[b - ALONE, k] -= 1
+    unit_n[ALONE:] = leaf_n.sum(axis=1)
+    parameters = trained(training, top, unit_n, leaf_n)
+    # an own unit holds exactly its word, so that the unseen share belongs to the leaves of the shared units
+    log_mass = np.log10(np.concatenate((unit_n[:ALONE] + 0.5, (leaf_n + 0.5 * (leaf_v + 1)).ravel())))
+    none = len(log_mass)
     log_end = np.log10(texts + 0.5)
     shared_pack = spark.sparkContext.broadcast((known, np.log10(known_n + 0.5), top, parameters, log_mass))
 
     def scan(batches):
-        keys, logs, frequent, p, mass = shared_pack.value
+        keys, logs, frequent, (p, p_leaf), mass = shared_pack.value
         for batch in batches:
             rows = batch.column(0).to_numpy()
             for words in word_slices(batch.column(1), lower=True):
                 hashes = words.hashes()
-                stream, _ = unit_stream(words, hashes, frequent)
+                stream, place = unit_stream(words, hashes, frequent)
+                leaf = leaf_stream(stream, place, hashes, subunits)
+                logs_all = log_units(p, stream, contexts(stream, words)) + log_leaves(p_leaf, leaf, contexts(leaf, words, none))
                 ends = words.doc_words[1:] + np.arange(words.docs) + 1
                 firsts = words.doc_words[:-1] + np.arange(words.docs)
-                terms = np.concatenate(([0.0], np.cumsum(log_units(p, stream, contexts(stream, words)) / np.log(10) - mass[stream])))
+                terms = np.concatenate(([0.0], np.cumsum(logs_all / np.log(10) - mass[leaf])))
                 model = terms[ends] - terms[firsts]
                 at = lookup(hashes, keys)
                 doc = words.doc_of_word()

@@ -65,3 +65,37 @@ def test_unit_probabilities_sum_to_one():
     assert list(ctx[:, 0]) == [lbl.UNITS] * lbl.CONTEXT and len(stream) == 12
     total = sum(np.exp(lbl.log_units(p, np.full_like(stream, u), ctx)) for u in range(lbl.UNITS))
     assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_words_that_share_a_unit_are_told_apart_by_context(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = [f"{a}{b}zz" for a in "bcdfghjklmnpqrst" for b in "aeiouvwxyabcd"]  # 128 of these 208 share a unit
+
+    def text(words):
+        at = rng.integers(len(names)) + np.arange(words)  # each word is followed by one and the same
+        return " ".join(names[i % len(names)] for i in at)
+
+    docs = spark.createDataFrame([(i, text(400)) for i in range(2000)], "_row long, text string").coalesce(1)
+    asked = spark.createDataFrame([(i, text(400)) for i in range(50)], "_row long, text string")
+
+    def score(leaves):
+        monkeypatch.setattr(lbl, "subunits_for", lambda types: leaves, raising=False)
+        return lbl.model_scores(asked, docs).agg(F.sum("score")).first()[0] / (50 * 401)
+
+    assert score(64) > score(1) + 0.1
+
+
+def test_leaves_grow_with_the_vocabulary_and_sum_to_one():
+    assert [lbl.subunits_for(n) for n in (0, 100, 30_000, 3_000_000, 300_000_000)] == [1, 1, 16, 128, 2048]
+    words = next(word_slices(pa.array(["the cat sat on the mat", "", None, "a b"]), lower=True))
+    stream, place = lbl.unit_stream(words, words.hashes(), np.sort(words.hashes()[:2]))
+    p = lbl.start_leaves(np.arange(lbl.BUCKETS * 8).reshape(-1, 8))
+    p["out"] = np.random.default_rng(1).standard_normal(p["out"].shape).astype(np.float32)
+    leaf = lbl.leaf_stream(stream, place, words.hashes(), 8)
+    ctx = lbl.contexts(leaf, words, lbl.ALONE + lbl.BUCKETS * 8)
+    shared = stream >= lbl.ALONE
+    assert shared.sum() == 5 and list(leaf[~shared]) == list(stream[~shared])
+    assert list((leaf[shared] - lbl.ALONE) // 8) == list(stream[shared].astype(int) - lbl.ALONE)
+    first = lbl.ALONE + (leaf - lbl.ALONE) // 8 * 8
+    total = sum(np.exp(lbl.log_leaves(p, np.where(shared, first + k, leaf), ctx)) for k in range(8))
+    assert np.allclose(total[shared], 1, atol=1e-4) and np.allclose(total[~shared], 8)
