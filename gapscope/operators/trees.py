@@ -66,6 +66,57 @@ def _gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return g * g / (h + LEAF_PENALTY)
 
 
+def _dense_splits(bins, at, node, size, widths, first, second, least, allowed):
+    """Best gain and cut of every (node, feature) in boosting, -1 where there is none."""
+    best, cuts = np.full((size, len(widths)), -1.0), np.zeros((size, len(widths)), dtype=np.int64)
+    for f in np.flatnonzero(allowed):
+        shape = (size, int(widths[f]))
+        flat = node * shape[1] + bins[:, f][at]
+        hist = [np.bincount(flat, s[at], minlength=shape[0] * shape[1]).reshape(shape) for s in (first, second)]
+        best[:, f], cuts[:, f] = best_cuts(*hist, least)
+    return best, cuts
+
+
+def best_cuts(first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Best gain of boosting and its cut from the sums by (node, bin) of a feature."""
+    below = [np.cumsum(h, axis=1)[:, :-1] for h in (first, second)]
+    total = [h.sum(axis=1, keepdims=True) for h in (first, second)]
+    above = [t - b for t, b in zip(total, below)]
+    won = _gain(*below) + _gain(*above) - _gain(*total)
+    won = np.where((below[1] >= least) & (above[1] >= least) & (won > 1e-9), won, -1.0)
+    return won.max(axis=1), won.argmax(axis=1)
+
+
+def _count_splits(bins, at, node, widths, first, second, least, wanted):
+    """Best gain and cut of every wanted (node, feature) by class counts, -1 where there is none.
+
+    Gains are worked out at the occupied bins only, so a level of many small nodes costs no more
+    than its cells.
+    """
+    best, cuts = np.full(wanted.shape, -1.0), np.zeros(wanted.shape, dtype=np.int64)
+    for f in np.flatnonzero(wanted.any(axis=0)):
+        asked, width = np.flatnonzero(wanted[:, f]), int(widths[f])
+        place = np.cumsum(wanted[:, f]) - 1
+        mine = np.flatnonzero(wanted[:, f][node])
+        cell = at[mine]
+        flat = place[node[mine]] * width + bins[:, f][cell]
+        hist = [np.bincount(flat, s[cell], minlength=len(asked) * width) for s in (first, second)]
+        held = np.flatnonzero(hist[0] + hist[1])
+        own = held // width
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        upto = [np.cumsum(h[held]) for h in hist]
+        before = [np.concatenate(([0.0], u))[starts] for u in upto]
+        total = [np.append(b[1:], u[-1]) - b for b, u in zip(before, upto)]
+        below = [u - b[own] for u, b in zip(upto, before)]
+        above = [t[own] - b for t, b in zip(total, below)]
+        won = _gini(*below) + _gini(*above) - _gini(*total)[own]
+        won = np.where((below[0] + below[1] >= least) & (above[0] + above[1] >= least) & (won > 1e-9), won, -1.0)
+        best[asked, f] = top = np.maximum.reduceat(won, starts)
+        hit = np.flatnonzero(won == top[own])
+        cuts[asked, f] = held[hit[np.flatnonzero(np.diff(own[hit], prepend=-1))]] % width
+    return best, cuts
+
+
 def grow(
     bins: np.ndarray, widths: np.ndarray, first: np.ndarray, second: np.ndarray, depth: int, least: float,
     boosting: bool, rng: np.random.Generator | None = None, per_node: int | None = None, allowed: np.ndarray | None = None,
@@ -76,8 +127,7 @@ def grow(
     every node, and all are looked at where none of the drawn ones can split it; ``allowed`` limits
     the tree's features.
     """
-    score = _gain if boosting else _gini
-    p, width = bins.shape[1], int(widths.max())
+    p, bins = bins.shape[1], np.asfortranarray(bins)
     allowed = np.ones(p, dtype=bool) if allowed is None else allowed
     feature, cut, left, sums = [np.array([-1])], [np.array([0])], [np.array([0])], [np.array([[first.sum(), second.sum()]])]
     live = np.flatnonzero((first != 0) | (second != 0))
@@ -85,34 +135,28 @@ def grow(
     start, size = 0, 1
     for _ in range(depth):
         chosen_f, chosen_c = np.full(size, -1), np.zeros(size, dtype=np.int64)
-        step = max(1, HISTOGRAM // (p * width))
-        order = np.argsort(node, kind="stable")
-        edges = np.searchsorted(node[order], np.arange(0, size + step, step))
-        for k, lo in enumerate(range(0, size, step)):
+        step = max(1, HISTOGRAM // int(widths.max()))
+        for lo in range(0, size, step):
             hi = min(lo + step, size)
-            cells = order[edges[k] : edges[k + 1]]
+            cells = slice(None) if step >= size else np.flatnonzero((node >= lo) & (node < hi))
             at, inside = live[cells], node[cells] - lo
-            shape = (hi - lo, p, width)
-            flat = ((inside[:, None] * p + np.arange(p)) * width + bins[at]).ravel()
-            hist = [np.bincount(flat, np.repeat(s[at], p), minlength=int(np.prod(shape))).reshape(shape) for s in (first, second)]
-            below = [np.cumsum(h, axis=2)[:, :, :-1] for h in hist]
-            total = [h[:, :1, :].sum(axis=2, keepdims=True) for h in hist]
-            above = [t - b for t, b in zip(total, below)]
-            won = score(*below) + score(*above) - score(*total)
-            counted = (lambda s: s[1]) if boosting else (lambda s: s[0] + s[1])
-            good = (counted(below) >= least) & (counted(above) >= least) & allowed[None, :, None]
-            won = np.where(good & (won > 1e-9), won, -1.0)
-            best = won.max(axis=2)
-            pick = best
-            if per_node is not None and per_node < p:
-                drawn = rng.random((hi - lo, p)).argsort(axis=1) < per_node
-                some = np.where(drawn, best, -1.0)
-                pick = np.where((some.max(axis=1) > 0)[:, None], some, best)
-            f = pick.argmax(axis=1)
+            if boosting:
+                best, cuts = _dense_splits(bins, at, inside, hi - lo, widths, first, second, least, allowed)
+            else:
+                a, b = sums[-1][lo:hi].T
+                mixed = (a > 0) & (b > 0) & (a + b >= 2 * least)
+                wanted = mixed[:, None] & allowed
+                drawn = rng.random((hi - lo, p)).argsort(axis=1) < per_node if per_node is not None and per_node < p else None
+                best, cuts = _count_splits(bins, at, inside, widths, first, second, least, wanted if drawn is None else wanted & drawn)
+                if drawn is not None:
+                    rest = wanted & (best.max(axis=1) <= 0)[:, None]
+                    few = np.flatnonzero(rest[inside, :].any(axis=1))
+                    other, other_cuts = _count_splits(bins, at[few], inside[few], widths, first, second, least, rest)
+                    best, cuts = np.where(rest, other, best), np.where(rest, other_cuts, cuts)
+            f = best.argmax(axis=1)
             row = np.arange(hi - lo)
-            can = pick[row, f] > 0
-            chosen_f[lo:hi] = np.where(can, f, -1)
-            chosen_c[lo:hi] = won[row, f].argmax(axis=1)
+            chosen_f[lo:hi] = np.where(best[row, f] > 0, f, -1)
+            chosen_c[lo:hi] = np.where(best[row, f] > 0, cuts[row, f], 0)
         splits = chosen_f >= 0
         if not splits.any():
             break
@@ -175,21 +219,25 @@ def boosted(
 
 
 def packed(trees: list[Tree]) -> bytes:
-    """Trees as bytes: their number, their sizes, then each array of all nodes."""
+    """Trees as bytes: their number, their sizes, features and cuts of all nodes, values of the leaves.
+
+    The children of the k-th split of a tree are its nodes 2k + 1 and 2k + 2, so they are not written.
+    """
     sizes = np.array([len(trees), *[len(t.feature) for t in trees]], dtype="<i4")
-    parts = [np.concatenate([getattr(t, name) for t in trees]).astype(kind).tobytes() for name, kind in _ARRAYS]
-    return b"".join([sizes.tobytes(), *parts])
+    feature, cut, value = (np.concatenate([getattr(t, name) for t in trees]) for name in ("feature", "cut", "value"))
+    kind = "<i1" if max(feature.max(), cut.max()) < 128 else "<i2"
+    return b"".join([kind.encode(), sizes.tobytes(), feature.astype(kind).tobytes(), cut.astype(kind).tobytes(), value[feature < 0].tobytes()])
 
 
 def unpacked(raw: bytes) -> list[Tree]:
-    count = int(np.frombuffer(raw, dtype="<i4", count=1)[0])
-    sizes = np.frombuffer(raw, dtype="<i4", count=count, offset=4)
-    at, ends, arrays = 4 * (count + 1), np.cumsum(sizes), []
-    for _, kind in _ARRAYS:
-        flat = np.frombuffer(raw, dtype=kind, count=int(ends[-1]), offset=at)
-        at += flat.nbytes
-        arrays.append(np.split(flat, ends[:-1]))
-    return [Tree(*a) for a in zip(*arrays)]
-
-
-_ARRAYS = (("feature", "<i2"), ("cut", "<i2"), ("left", "<i4"), ("value", "<f8"))
+    raw = memoryview(raw)
+    kind, count = bytes(raw[:3]).decode(), int(np.frombuffer(raw[3:7], dtype="<i4")[0])
+    sizes = np.frombuffer(raw, dtype="<i4", count=count, offset=7)
+    nodes, at = int(sizes.sum()), 4 * count + 7
+    feature, cut = np.frombuffer(raw, dtype=kind, count=2 * nodes, offset=at).reshape(2, nodes)
+    value = np.zeros(nodes)
+    value[feature < 0] = np.frombuffer(raw[at + feature.nbytes + cut.nbytes :], dtype="<f8")
+    trees = []
+    for f, c, v in zip(*[np.split(a, np.cumsum(sizes)[:-1]) for a in (feature, cut, value)]):
+        trees.append(Tree(f, c, np.where(f >= 0, 2 * np.cumsum(f >= 0) - 1, 0).astype(np.int32), v))
+    return trees

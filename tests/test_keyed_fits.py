@@ -175,6 +175,19 @@ def test_sampled_cells_still_score_every_row(spark):
     assert got.count() == 600 and got.where("prob is null or prob < 0 or prob > 1").count() == 0
 
 
+@pytest.mark.parametrize("families", [("random_forest", "shallow_tree", "boosted_trees")])
+def test_trees_are_fitted_on_all_cells(spark, families):
+    """More cells than are packed together are no sample: every family is the one of all cells."""
+    df = folded(spark)
+    packed = L.PoolSettings(**{**SMALL.__dict__, "max_cells": 100})
+    whole, parted = (
+        {(r["row_id"], r["family"]): r["prob"] for r in L.cross_validated_scores(df, SPEC, families, 3, settings=s).collect()}
+        for s in (SMALL, packed)
+    )
+    assert len(whole) == 600 * len(families) and whole.keys() == parted.keys()
+    assert all(parted[k] == pytest.approx(p, abs=1e-12) for k, p in whole.items())
+
+
 def test_trees_split_as_counted_by_hand():
     bins = np.array([[0, 1], [1, 0], [2, 1], [3, 0]], dtype=np.int16)
     neg, pos = np.array([9.0, 9, 1, 0]), np.array([1.0, 0, 9, 9])
