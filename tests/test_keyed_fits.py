@@ -188,6 +188,16 @@ def test_trees_are_fitted_on_all_cells(spark, families):
     assert all(parted[k] == pytest.approx(p, abs=1e-12) for k, p in whole.items())
 
 
+def test_cells_hold_every_row(spark):
+    rows = folded(spark).select("fold", "y_true", F.expr("cast(floor(10 * x1) as int)").alias("a"), F.expr("cast(row_id % 7 as int)").alias("b"))
+    parts = PL.counted_cells(rows, [F.col("a"), F.col("b")], [0, 1, 2], F.col("fold"), "y_true", 20)
+    cells, counts = PL.gathered(parts, 2, 3)
+    want = rows.groupBy("a", "b", "fold", "y_true").count().collect()
+    at = {tuple(c): n for c, n in zip(cells.tolist(), counts)}
+    assert parts.count() > 1 and list(at) == sorted(at) and counts.sum() == 600 and len(at) == len({(r["a"], r["b"]) for r in want})
+    assert all(at[r["a"], r["b"]][r["fold"], r["y_true"]] == r["count"] for r in want)
+
+
 def test_trees_split_as_counted_by_hand():
     bins = np.array([[0, 1], [1, 0], [2, 1], [3, 0]], dtype=np.int16)
     neg, pos = np.array([9.0, 9, 1, 0]), np.array([1.0, 0, 9, 9])
