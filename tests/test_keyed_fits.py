@@ -198,6 +198,16 @@ def test_cells_hold_every_row(spark):
     assert all(at[r["a"], r["b"]][r["fold"], r["y_true"]] == r["count"] for r in want)
 
 
+def test_robustness_is_fitted_on_all_cells(spark):
+    df = folded(spark).withColumn("pred", F.lit(0))
+    families = ("shallow_tree", "boosted_trees")
+    whole, parted = (
+        {r["family"]: (r["auroc"], r["brier"]) for r in L.family_robustness(df, df, SPEC, "k", "A", "B", families, 3, settings=s).collect()}
+        for s in (SMALL, L.PoolSettings(**{**SMALL.__dict__, "max_cells": 100}))
+    )
+    assert set(whole) == set(families) and all(parted[f] == pytest.approx(v, abs=1e-12) for f, v in whole.items())
+
+
 def test_trees_split_as_counted_by_hand():
     bins = np.array([[0, 1], [1, 0], [2, 1], [3, 0]], dtype=np.int16)
     neg, pos = np.array([9.0, 9, 1, 0]), np.array([1.0, 0, 9, 9])
